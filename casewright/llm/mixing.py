@@ -50,13 +50,31 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At most a few undecided documents of a source: the whole-number choice nearest both totals."""
+    """At most a few undecided documents of a source: the whole-number choice nearest in tokens, then exchanges of one
+    document for another, which keep the number of documents, while they bring the tokens nearer."""
+    pdf = pdf.reset_index(drop=True)
+    begun = pdf["p"]
     pdf = _fly(pdf)
+    begun = begun[pdf.index].to_numpy()
     left = np.flatnonzero((pdf["p"] > EPS) & (pdf["p"] < 1 - EPS))
     p, size = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy().astype(float)
     best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[i] * ((m >> k & 1) - p[i]) for k, i in enumerate(left))), m))
     for k, i in enumerate(left):
         p[i] = best >> k & 1
+    open_ = (begun > EPS) & (begun < 1 - EPS)
+    for _ in range(5):
+        over = float((size * (p - begun)).sum())
+        ins, outs = np.flatnonzero(open_ & (p == 1)), np.flatnonzero(open_ & (p == 0))
+        if not len(ins) or not len(outs):
+            break
+        outs = outs[np.argsort(size[outs], kind="stable")]
+        at = np.searchsorted(size[outs], size[ins] - over)
+        a, b = outs[np.maximum(at - 1, 0)], outs[np.minimum(at, len(outs) - 1)]
+        gap = np.abs(over - np.stack([size[ins] - size[a], size[ins] - size[b]]))
+        k, i = np.unravel_index(gap.argmin(), gap.shape)
+        if gap[k, i] >= abs(over):
+            break
+        p[ins[i]], p[(a, b)[k][i]] = 0.0, 1.0
     return pdf.assign(p=p)
 
 
