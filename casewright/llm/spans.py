@@ -19,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    block_hashes,
     byte_gram_hashes,
-    byte_values,
     gram_hashes,
     mix,
     pack_arrays,
     pack_sorted,
     parts,
     ranges,
-    run_hashes,
     unpack_arrays,
     unpack_sorted,
     words_of,
@@ -53,9 +52,6 @@ class Units:
     def grams(self, k: int) -> np.ndarray:
         return byte_gram_hashes(self.values, k) if self.unit == "byte" else gram_hashes(self.values, k)
 
-    def hashed(self) -> np.ndarray:
-        return byte_values(self.values) if self.unit == "byte" else self.values
-
 
 def anchors(units: Units, known: np.ndarray, length: int, k: int):
     """(hash, anchor place, first window, one past the last window, document) of each anchor of a packet."""
@@ -93,10 +89,10 @@ def same_runs(values: np.ndarray, starts: np.ndarray, other: np.ndarray, lens: n
     return ok
 
 
-def collapse(h, where, start, size, doc, values, hashed):
+def collapse(h, where, start, size, doc, values):
     """Order by (anchor hash, content, document), and for each segment the place in that order of the first with
     equal content. where: the anchor's offset in the segment."""
-    content = mix(run_hashes(hashed, start, start + size) ^ (where.astype(np.uint64) << np.uint64(32)))
+    content = mix(block_hashes(values, start, start + size) ^ (where.astype(np.uint64) << np.uint64(32)))
     order = np.lexsort((doc, content, h))
     h, content, start, size = h[order], content[order], start[order], size[order]
     new = np.ones(len(order), dtype=bool)
@@ -182,7 +178,7 @@ def _send_segments(unit: str, length: int, n_buckets: int):
             if not len(h):
                 continue
             size = w1 - w0 + length - 1
-            order, head = collapse(h, a - w0, w0, size, ids, units.values, units.hashed())
+            order, head = collapse(h, a - w0, w0, size, ids, units.values)
             h, a, w0, w1, ids, size = (x[order] for x in (h, a, w0, w1, ids, size))
             gone = ids > ids[head]  # the same segment starts in a smaller document of this packet
             if gone.any():
@@ -221,13 +217,13 @@ def _solve(solver: Callable, unit: str, length: int):
             n_win = n_win.astype(np.int64)
             size = n_win + length - 1
             start = np.cumsum(size) - size
-            hashed = byte_values(body) if unit == "byte" else body
-            order, head = collapse(h, off, start, size, ids, body, hashed)
+            del got, rows
+            order, head = collapse(h, off, start, size, ids, body)
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
             head = order[head][rank]  # of each segment, the one with the least document
             lead = np.unique(head)
-            dup = solver(h[lead], off[lead].astype(np.int64), start[lead], n_win[lead], ids[lead], body, hashed, length)
+            dup = solver(h[lead], off[lead].astype(np.int64), start[lead], n_win[lead], ids[lead], body, length)
             w_at = np.cumsum(n_win[lead]) - n_win[lead]
             whole = ids > ids[head]
             # runs of duplicate windows of each leading segment

@@ -12,7 +12,7 @@ from .common import gram_hashes, ranges
 from .spans import earlier_spans
 
 
-def relative_lz_solver(h, off, start, n_win, ids, body, hashed, length):
+def relative_lz_solver(h, off, start, n_win, ids, body, length):
     """One bucket's segments are a reference block, indexed by the hash of each `length`-word string with its first
     owner (least document). Each segment is then parsed greedily: the factor at a place is the longest match with the
     owner found there; the next place asked is the first string that straddles the factor's end, so a copy that goes

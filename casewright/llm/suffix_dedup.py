@@ -65,7 +65,7 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
     return lpf
 
 
-def suffix_order_solver(h, off, start, n_win, ids, body, hashed, length):
+def suffix_order_solver(h, off, start, n_win, ids, body, length):
     """Suffixes of one bucket's segments in order of their first `length` bytes; a window is a later copy if the
     previous or next smaller document in that order is reached over common prefixes of at least `length`."""
     dup = np.zeros(int(n_win.sum()), dtype=bool)
@@ -80,8 +80,8 @@ def suffix_order_solver(h, off, start, n_win, ids, body, hashed, length):
     keep = np.uint64((~((1 << (8 * (8 - tail))) - 1) & ((1 << 64) - 1)) if tail else (1 << 64) - 1)
     done = 0
     while done < len(order):
-        # blocks of about a million windows, cut between anchors
-        upto = done + max(1, int(np.searchsorted(np.cumsum(n_win[order[done:]]), 1_000_000)))
+        # blocks of some 400,000 windows, cut between anchors
+        upto = done + max(1, int(np.searchsorted(np.cumsum(n_win[order[done:]]), 400_000)))
         while upto < len(order) and h[order[upto]] == h[order[upto - 1]]:
             upto += 1
         s = order[done:upto]
