@@ -67,6 +67,23 @@ def sql_words(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def give_back_memory() -> None:
+    """Has this process return freed arrays to the system: workers live long, and share a machine with the JVM."""
+    try:
+        import ctypes
+
+        import pyarrow as pa
+
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # arrays from 256 KB on are mapped, and unmapped when freed
+        libc.mallopt(-1, 1 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (OSError, AttributeError):
+        return  # another C library; it manages by itself
+
+
+give_back_memory()
+
 # ---- numpy hashing ------------------------------------------------------------------------------
 
 _M = (1 << 64) - 1

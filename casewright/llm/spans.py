@@ -35,6 +35,8 @@ from .packets import Packet, packed
 
 #: Units in an anchor k-gram.
 ANCHOR = {"byte": 16, "word": 8}
+#: Bytes of segments that are compared at once in a bucket.
+PIECE = 4 << 20
 
 
 class Units:
@@ -208,16 +210,37 @@ def _solve(solver: Callable, unit: str, length: int):
     """solver(segments) -> boolean over all windows of the distinct segments: does it also start in a smaller document?"""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [(r["chunk_id"], r["payload"]) for r in rows if r["kind"] == 1]
-        got = [(r["chunk_id"], unpack_arrays(r["payload"])) for r in rows if r["kind"] == 0]
-        if got:
-            h, ids, off, n_win, n_places, places, body = (np.concatenate([x[i] for _, x in got]) for i in range(7))
-            chunk = np.repeat(np.array([c for c, _ in got]), [len(x[0]) for _, x in got])
+        out: list[tuple[int, bytes]] = []
+        got = []
+        for chunk, kind, payload in zip(*(table.column(c) for c in ("chunk_id", "kind", "payload")), strict=True):
+            if kind.as_py() == 1:
+                out.append((chunk.as_py(), payload.as_py()))
+                continue
+            h, ids, off, n_win, n_places, places, body = unpack_arrays(payload.as_py())
+            sizes = np.concatenate([[0], np.cumsum(n_win.astype(np.int64) + length - 1)])
+            got.append((chunk.as_py(), h, ids, off, n_win, n_places, places, np.concatenate([[0], np.cumsum(n_places, dtype=np.int64)]), body, sizes))
+        # anchors in ascending order, some of the bucket's range at a time
+        low, high = min((int(x[1][0]) for x in got), default=0), max((int(x[1][-1]) for x in got), default=-1) + 1
+        pieces = max(1, sum(x[8].nbytes for x in got) // PIECE)
+        for k in range(pieces):
+            edges = np.array([low + (high - low) * k // pieces, low + (high - low) * (k + 1) // pieces], dtype=np.uint64)
+            some = []
+            for chunk, h, ids, off, n_win, n_places, places, p_at, body, b_at in got:
+                i, j = np.searchsorted(h, edges)
+                if i < j:
+                    some.append((chunk, h[i:j], ids[i:j], off[i:j], n_win[i:j], n_places[i:j], places[p_at[i] : p_at[j]], body[b_at[i] : b_at[j]]))
+            if some:
+                out += solved(some)
+        return pa.table({"chunk_id": pa.array([c for c, _ in out], pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())})
+
+    def solved(some) -> list[tuple[int, bytes]]:
+        out = []
+        h, ids, off, n_win, n_places, places, body = (np.concatenate([x[i] for x in some]) for i in range(1, 8))
+        chunk = np.repeat(np.array([x[0] for x in some]), [len(x[1]) for x in some])
+        if len(h):
             n_win = n_win.astype(np.int64)
             size = n_win + length - 1
             start = np.cumsum(size) - size
-            del got, rows
             order, head = collapse(h, off, start, size, ids, body)
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
@@ -251,7 +274,7 @@ def _solve(solver: Callable, unit: str, length: int):
             at, m, c = at[by], m[by], c[by]
             for one, i, j in zip(*_groups(c), strict=True):
                 out.append((int(one), pack_arrays(at[i:j].astype("<u4"), m[i:j].astype("<u4"))))
-        return pa.table({"chunk_id": pa.array([c for c, _ in out], pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())})
+        return out
 
     return run
 
