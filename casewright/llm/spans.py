@@ -77,7 +77,8 @@ def anchors(units: Units, known: np.ndarray, length: int, k: int):
     first = np.flatnonzero(new)
     end = np.append(first[1:], len(at))
     a = at[first]
-    return h[a] >> np.uint64(16), a, start[first], start[end - 1] + 1, doc[first]
+    # least hashes crowd at one end of their range, so they are scrambled again before they choose a bucket
+    return mix(h[a]) >> np.uint64(16), a, start[first], start[end - 1] + 1, doc[first]
 
 
 def same_runs(values: np.ndarray, starts: np.ndarray, other: np.ndarray, lens: np.ndarray) -> np.ndarray:
