@@ -84,37 +84,42 @@ def _fingerprints(s, a, b):
     return c1[b] - c1[a], c2[b] - c2[a]
 
 
+def spare_classes(differ: int) -> int:
+    """Classes beyond those that D differences can spoil; a document has seldom more classes with a single shingle."""
+    return 1 + differ // 12
+
+
 def levels(threshold: float, most: int) -> list[tuple[int, int, int]]:
     """(least, greatest size, classes) of the smaller set's size levels; the larger may be 1/threshold times as big."""
     out, low = [], 1
     while low <= most:
         high = max(low, int(low / math.sqrt(threshold)))
         differ = int(math.floor(high * (1 - threshold) / threshold + 1e-9))
-        spare = 1 + differ // 40
-        out.append((low, high, differ + 1 + spare if differ else 0))
+        out.append((low, high, differ + 1 + spare_classes(differ) if differ else 0))
         low = high + 1
     return out
 
 
 def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, most: int):
     table = levels(threshold, most)
-    lows, highs = np.array([x[0] for x in table]), np.array([x[1] for x in table])
+    highs = np.array([x[1] for x in table], dtype=np.int64)
 
-    def sign(s: np.ndarray, owner: np.ndarray, sizes: np.ndarray, docs: np.ndarray, level: int, salt: int, all_empty: bool):
-        """Signatures of the docs' sets at a level: a hash of each class's shingles. -> (hash, doc, sparse docs)"""
+    def sign(s: np.ndarray, first: np.ndarray, count: np.ndarray, docs: np.ndarray, level: int, salt: int, thin_too: bool):
+        """Signatures of the docs' sets at a level: a hash of each class's shingles. Classes with one shingle or none
+        would bring unrelated documents together; they sign only where thin_too. -> (hash, doc, docs with more such
+        classes than are to spare)"""
         classes = table[level][2]
-        spare = 1 + (classes - 1) // 41
-        slot = np.searchsorted(docs, owner)
-        use = (slot < len(docs)) & (docs[np.minimum(slot, len(docs) - 1)] == owner)
-        x, d = s[use], slot[use]
-        key = d * classes + (mix(x + np.uint64(salt + 1)) % np.uint64(classes)).astype(np.int64)
-        total = np.zeros(len(docs) * classes, dtype=np.uint64)
-        np.add.at(total, key, mix(x ^ np.uint64(0xABCDEF12345)))
-        filled = np.bincount(key, minlength=len(total)) > 0
-        empty = classes - filled.reshape(len(docs), classes).sum(axis=1)
-        sparse = empty > spare
-        wanted = filled | (np.repeat(sparse, classes) & all_empty)
-        at = np.flatnonzero(wanted)
+        differ = int(math.floor(highs[level] * (1 - threshold) / threshold + 1e-9))
+        x = s[ranges(first[docs], count[docs])]
+        key = np.repeat(np.arange(len(docs)) * classes, count[docs]) + (mix(x + np.uint64(salt + 1)) % np.uint64(classes)).astype(np.int64)
+        v = mix(x ^ np.uint64(0xABCDEF12345))
+        size = len(docs) * classes
+        low = np.bincount(key, weights=(v & np.uint64(0xFFFFFFFF)).astype(float), minlength=size).astype(np.uint64)
+        high = np.bincount(key, weights=(v >> np.uint64(32)).astype(float), minlength=size).astype(np.uint64)
+        total = low + (high << np.uint64(32))
+        thick = np.bincount(key, minlength=size) > 1
+        sparse = (classes - thick.reshape(len(docs), classes).sum(axis=1)) > spare_classes(differ)
+        at = np.flatnonzero(thick | thin_too)
         tag = (at % classes).astype(np.uint64) + np.uint64((level << 20) + (salt << 40))
         return mix(total[at] + mix(tag)), docs[at // classes], docs[sparse]
 
@@ -133,24 +138,25 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
                 lead = np.zeros(len(order), dtype=bool)
                 lead[order[new]] = True
                 lead &= (size > 0) & p.known
-                owner = np.repeat(np.arange(len(size)), size)
-                held = lead[owner]
-                s2, o2 = s[held], owner[held]
-                rare = common[np.minimum(np.searchsorted(common, s2), max(0, len(common) - 1))] != s2 if len(common) else np.ones(len(s2), dtype=bool)
+                rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(len(s), dtype=bool)
+                c = np.concatenate([[0], np.cumsum(rare)])
+                some, some_at, some_n = s[rare], c[a], c[b] - c[a]
                 out = []
                 docs = np.flatnonzero(lead)
                 own = np.searchsorted(highs, size[docs])
+                lowest = np.searchsorted(highs, np.ceil(size[docs] * threshold - 1e-9))
                 for level in range(len(table)):
-                    if not table[level][2]:
-                        continue
                     # a document signs its own level, and those below in which a smaller partner may be
-                    mine = docs[(own == level) | ((own > level) & (np.ceil(size[docs] * threshold - 1e-9) <= highs[level]))]
-                    if not len(mine):
+                    todo = docs[(own >= level) & (lowest <= level)]
+                    if not table[level][2] or not len(todo):
                         continue
-                    h, d, sparse = sign(s2[rare], o2[rare], size, mine, level, 0, False)
+                    h, d, todo = sign(some, some_at, some_n, todo, level, 0, False)
                     out.append((h, d))
-                    if len(sparse):  # few rare shingles: partners that are as sparse meet over all shingles
-                        h, d, still = sign(s2, o2, size, sparse, level, 1, True)
+                    # partners of which both have too many thin classes meet under another division, over all shingles
+                    for salt in range(1, 6):
+                        if not len(todo):
+                            break
+                        h, d, todo = sign(s, a, size, todo, level, salt, salt == 5)
                         out.append((h, d))
                 if not out:
                     continue
@@ -230,6 +236,28 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 8) -> list[tuple[int,
             join(i, int(j))
         return 1 - both / union
 
+    def among(rows: np.ndarray) -> None:
+        lens = sets.lens[rows]
+        owner = np.repeat(np.arange(len(rows)), lens)
+        _, which, freq = np.unique(sets.values[ranges(sets.first[rows], lens)], return_inverse=True, return_counts=True)
+        order = np.lexsort((which, freq[which], owner))
+        owner, which = owner[order], which[order]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+        # two sets within the radius meet in their first |x| - ceil(t |x|) + 1 shingles of any common order
+        front = (place < (lens - -(-percent * lens // 100) + 1)[owner]) & (freq[which] > 1)
+        owner, which = owner[front], which[front]
+        order = np.lexsort((owner, which))
+        owner, which = owner[order], which[order]
+        seen: set[tuple[int, int]] = set()
+        for own in np.split(owner, np.flatnonzero(np.diff(which)) + 1):
+            own = rows[own]
+            for k, i in enumerate(own[:-1]):
+                ri, size = root(int(i)), sets.lens[i]
+                other = [int(j) for j in own[k + 1 :] if 100 * sets.lens[j] >= percent * size and 100 * size >= percent * sets.lens[j] and (int(i), int(j)) not in seen and root(int(j)) != ri]
+                if other:
+                    seen.update((int(i), j) for j in other)
+                    against(int(i), np.array(other))
+
     todo = [np.arange(n)]
     while todo:
         rows = todo.pop()
@@ -254,19 +282,10 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 8) -> list[tuple[int,
             inside = dist[k] - least <= 2 * radius + 1e-9  # own region, and boundary documents of others
             if (near == k).any():
                 regions.append(rows[inside])
-        if max(map(len, regions)) < len(rows):
+        if max(map(len, regions)) <= len(rows) // 2 and sum(map(len, regions)) <= 1.2 * len(rows):
             todo += regions
-        else:  # a region no pivot divides: windows of one pivot's distance, each with the next radius
-            k = int(np.argmax(dist.std(axis=0).mean() if dist.ndim == 1 else dist.std(axis=1)))
-            order = np.argsort(dist[k], kind="stable")
-            sorted_d, rows = dist[k][order], rows[order]
-            for i in range(len(rows)):
-                j = np.searchsorted(sorted_d, sorted_d[i] + radius + 1e-9, side="right")
-                other = rows[i + 1 : j]
-                mine = root(int(rows[i]))
-                other = other[[root(int(x)) != mine for x in other]] if len(other) else other
-                if len(other):
-                    against(int(rows[i]), other)
+        else:  # its documents lie apart from all pivots: those that can be near share one of their rarest shingles
+            among(rows)
     return links
 
 
