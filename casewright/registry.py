@@ -1,5 +1,64 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows on an engine with the base tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casewright.functions import export
+from casewright.operators import citations, quality, search
+from casewright.sources.cases import cases, edges, jobs, oracle
+from casewright.streaming import metrics
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "search_ranked"
+FLAGSHIP = "X1_search_ranked"
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = oracle(sql)
+
+
+def _on(source, f):
+    return lambda spark, sf_dir: f(source(spark, sf_dir))
+
+
+_Q = search.Query("contract negligence", min_quality=0.2, limit=50)
+_MATCH = "(lower(case_name) LIKE '%contract%' OR lower(summary) LIKE '%contract%' OR lower(case_name) LIKE '%negligence%' OR lower(summary) LIKE '%negligence%') AND quality_score >= 0.2"
+_SCORE = "((CASE WHEN lower(case_name) LIKE '%contract%' THEN 3.0 ELSE 0 END + CASE WHEN lower(summary) LIKE '%contract%' THEN 2.0 ELSE 0 END + CASE WHEN lower(case_name) LIKE '%negligence%' THEN 3.0 ELSE 0 END + CASE WHEN lower(summary) LIKE '%negligence%' THEN 2.0 ELSE 0 END)::DOUBLE / 2 * (1 + quality_score))"
+_add("X1_search_ranked", _on(cases, lambda d: search.search(d, _Q).select("id", "case_name", F.round("score", 9).alias("score"))), f"SELECT id, case_name, round({_SCORE}, 9) AS score FROM cases WHERE {_MATCH} ORDER BY {_SCORE} DESC, id LIMIT 50")
+_add("A6_facets", _on(cases, lambda d: search.facets(d, _Q)), f"""SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS k FROM (
+ SELECT facet, value, count(*) AS n FROM (SELECT 'jurisdiction' AS facet, jurisdiction AS value FROM cases WHERE {_MATCH} UNION ALL SELECT 'court', court FROM cases WHERE {_MATCH}
+ UNION ALL SELECT 'court_level', court_level::VARCHAR FROM cases WHERE {_MATCH} UNION ALL SELECT 'year', year::VARCHAR FROM cases WHERE {_MATCH}) GROUP BY 1, 2)) WHERE k <= 20""")
+_add("S1_scan_page", _on(cases, lambda d: d.orderBy("id").offset(20).limit(30).select("id", "case_number", "status")), "SELECT id, case_number, status FROM cases ORDER BY id LIMIT 30 OFFSET 20")
+_add("S5_point_lookup", _on(cases, lambda d: d.filter(F.col("id") == "case-42").limit(1).select("id", "case_name", "court")), "SELECT id, case_name, court FROM cases WHERE id = 'case-42'")
+_add("F1_F8_filters", _on(cases, lambda d: search.filtered(d, search.Query(jurisdictions=("EUROPE", "ASIA"), statuses=("active",), start="1996-01-01", end="1998-12-31", min_quality=0.5)).select("id", "jurisdiction")), "SELECT id, jurisdiction FROM cases WHERE jurisdiction IN ('EUROPE','ASIA') AND status = 'active' AND decision_date >= '1996-01-01' AND decision_date <= '1998-12-31' AND quality_score >= 0.5")
+_add("F15_fuzzy", _on(cases, lambda d: search.filtered(d, search.Query("negligance", "fuzzy")).select("id")), "SELECT id FROM cases WHERE summary LIKE '%negligence%'")
+_add("F15_regex", _on(cases, lambda d: search.filtered(d, search.Query("tax|patent", "regex")).select("id")), "SELECT id FROM cases WHERE regexp_matches(summary, 'tax|patent') OR regexp_matches(case_name, 'tax|patent')")
+_add("A1_count", _on(cases, lambda d: d.filter("status = 'closed'").agg(F.count("*").alias("n"))), "SELECT count(*) AS n FROM cases WHERE status = 'closed'")
+_add("A8_jurisdiction_share", _on(cases, lambda d: (lambda g: g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("jurisdiction", "n", F.round(F.col("n") / F.col("t") * 100, 6).alias("percentage"), F.round("q", 9).alias("avg_quality")))(d.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.avg("quality_score").alias("q")))), "SELECT jurisdiction, count(*) AS n, round(count(*) / (SELECT count(*) FROM cases) * 100, 6) AS percentage, round(avg(quality_score), 9) AS avg_quality FROM cases GROUP BY 1")
+_add("X3_highlight", _on(cases, lambda d: d.select("id", search.snippet(F.col("summary"), ["contract"], 40).alias("snippet")).filter("snippet is not null")), """SELECT id, replace(replace(concat(CASE WHEN p > 51 THEN '...' ELSE '' END, substring(summary, greatest(p - 51, 0) + 1, least(p - 1 + 40, length(summary)) - greatest(p - 51, 0)), CASE WHEN p - 1 + 40 < length(summary) THEN '...' ELSE '' END), 'contract', '<em>contract</em>'), 'Contract', '<em>Contract</em>') AS snippet
+ FROM (SELECT id, summary, strpos(lower(summary), 'contract') AS p FROM cases) WHERE p > 0""")
+_add("X5_suggest", _on(cases, lambda d: search.suggest(d, "court", 10).select("kind", "value", "n", F.round("score", 9).alias("score"))), """SELECT 'court' AS kind, court AS value, count(*) AS n, round(CASE WHEN lower(court) LIKE 'court%' THEN 1.0 / (length(court) - 5 + 1) ELSE 0.5 / length(court) END, 9)::DOUBLE AS score FROM cases WHERE lower(court) LIKE '%court%' GROUP BY court""")
+_add("X4_spelling", _on(cases, lambda d: search.spelling(d, "jurisdiction", "EUROBE")), "SELECT lower(jurisdiction) AS word, levenshtein(lower(jurisdiction), 'eurobe')::INT AS distance FROM cases WHERE levenshtein(lower(jurisdiction), 'eurobe') <= 2 GROUP BY 1, 2")
+_add("C1_extract", _on(cases, lambda d: citations.extract(d, "id", F.concat_ws(" ", "summary", "case_number"))), """SELECT id AS citing, case_number AS raw, CASE case_key % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'australian' WHEN 2 THEN 'irish' WHEN 3 THEN 'canadian' ELSE 'bluebook' END AS format FROM cases""")
+_add("C3_components", _on(cases, lambda d: d.select("id", citations.components(F.col("case_number"), F.when(F.col("case_key") % 5 == 4, "bluebook").otherwise("neutral")).alias("c")).select("id", "c.year", "c.court", "c.number", "c.volume", "c.page")), "SELECT id, year::VARCHAR AS year, CASE case_key % 5 WHEN 0 THEN 'UKSC' WHEN 1 THEN 'HCA' WHEN 2 THEN 'IESC' WHEN 3 THEN 'SCC' END AS court, CASE WHEN case_key % 5 <> 4 THEN case_key::VARCHAR END AS number, CASE WHEN case_key % 5 = 4 THEN case_key::VARCHAR END AS volume, CASE WHEN case_key % 5 = 4 THEN party_key::VARCHAR END AS page FROM cases")
+_add("J2_A11_degrees", lambda s, d: citations.degrees(cases(s, d), s.table("edges")), "SELECT id, coalesce(i, 0) AS inbound, coalesce(o, 0) AS outbound FROM cases LEFT JOIN (SELECT cited, count(*) AS i FROM edges GROUP BY 1) ON id = cited LEFT JOIN (SELECT citing, count(*) AS o FROM edges GROUP BY 1) ON id = citing")
+_add("G3_most_cited", _on(edges, lambda e: e.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(20)), "SELECT cited AS id, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, id LIMIT 20")
+_add("G6_neighbourhood", _on(edges, lambda e: citations.neighbourhood(e, "case-1", 2, "cited")), "SELECT id, min(d) AS distance FROM (SELECT 'case-1' AS id, 0 AS d UNION ALL SELECT cited, 1 FROM edges WHERE citing = 'case-1' UNION ALL SELECT b.cited, 2 FROM edges a JOIN edges b ON a.cited = b.citing WHERE a.citing = 'case-1') GROUP BY 1")
+_round = "r{n} AS (SELECT id, 0.15 + 0.85 * coalesce(got, 0) AS score FROM cases LEFT JOIN (SELECT cited, sum(score * share) AS got FROM pairs JOIN r{p} ON citing = id GROUP BY 1) ON id = cited)"
+_add("G2_influence", lambda s, d: citations.influence(cases(s, d), s.table("edges")).select("id", F.round("score", 11).alias("score")), None)
+ORACLE_SQL["G2_influence"] = oracle("SELECT 1").removesuffix("SELECT 1") + ", deg AS (SELECT citing AS c, count(*) AS degree FROM edges GROUP BY 1), pairs AS (SELECT citing, cited, count(*)::DOUBLE / max(degree) AS share FROM edges JOIN deg ON c = citing GROUP BY 1, 2), r0 AS (SELECT id, 1.0::DOUBLE AS score FROM cases), " + ", ".join(_round.format(n=k + 1, p=k) for k in range(10)) + " SELECT id, round(score, 11) AS score FROM r10"
+_add("E1_case_type", _on(cases, lambda d: d.groupBy(quality.case_type(F.col("summary")).alias("case_type")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN regexp_matches(lower(summary), 'prosecution|conviction|guilt') THEN 'criminal' WHEN regexp_matches(lower(summary), 'custody|divorce|child') THEN 'family' WHEN lower(summary) LIKE '%tax%' THEN 'tax' WHEN regexp_matches(lower(summary), 'constitution|judicial review') THEN 'constitutional' WHEN regexp_matches(lower(summary), 'patent|copyright') THEN 'intellectual_property' WHEN lower(summary) LIKE '%contract%' THEN 'contract' WHEN regexp_matches(lower(summary), 'negligence|duty of care') THEN 'tort' ELSE 'civil' END AS case_type, count(*) AS n FROM cases GROUP BY 1")
+_add("A14_quality_metrics", _on(cases, quality.quality_metrics), "SELECT count(*) AS total, count(*) FILTER (quality_score >= 0.8) AS high, count(*) FILTER (quality_score >= 0.6 AND quality_score < 0.8) AS medium, count(*) FILTER (quality_score < 0.6) AS low, round(avg(quality_score), 9) AS average FROM cases")
+_H = "sha256(concat_ws('|', translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', ''), lower(court), lower(jurisdiction)))"
+_add("A16_duplicate_groups", _on(cases, quality.duplicate_groups), f"SELECT {_H} AS hash, count(*) AS n, first(id ORDER BY quality_score DESC, id) AS best FROM cases GROUP BY 1 HAVING count(*) > 1")
+_add("V8_first_seen", _on(cases, quality.first_seen), f"SELECT id, row_number() OVER (PARTITION BY {_H} ORDER BY decision_date, case_key) > 1 AS seen_before FROM cases")
+_add("V5_completeness", _on(cases, lambda d: d.select("id", quality.completeness(["case_name", "court", "summary", "status"]).alias("completeness"), F.round(quality.text_quality(F.col("summary"), 60, 70), 6).alias("text_quality"))), "SELECT id, 1.0::DOUBLE AS completeness, CASE WHEN length(summary) < 60 THEN 0.3::DOUBLE WHEN length(summary) > 70 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS text_quality FROM cases")
+_add("T3_normalise", _on(cases, lambda d: d.select("id", quality.normalised(F.col("case_name")).alias("text"))), "SELECT id, translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', '') AS text FROM cases")
+_add("K5_bibtex", _on(cases, lambda d: d.select("id", export.bibtex().alias("entry"))), "SELECT id, concat('@misc{', replace(case_number, ' ', '_'), ',', chr(10), '  title = {', case_name, '},', chr(10), '  year = {', year, '},', chr(10), '  howpublished = {', court, '}', chr(10), '}') AS entry FROM cases")
+_add("R8_R10_rates", _on(jobs, lambda j: metrics.rates(j)), "SELECT date_trunc('hour', created_at) AS window_start, type, count(*) AS n, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'failed') / count(*), 6) AS error_ratio, round(avg(duration), 6) AS mean_duration FROM jobs GROUP BY 1, 2")
+_add("A19_latency", _on(jobs, metrics.latency), "SELECT type, len(d)::INT AS n, d[1] AS least, d[-1] AS greatest, d[(len(d) * 50 // 100 + 1)::INT] AS p50, d[(len(d) * 95 // 100 + 1)::INT] AS p95, d[(len(d) * 99 // 100 + 1)::INT] AS p99 FROM (SELECT type, list(duration ORDER BY duration) AS d FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, job_id DESC) AS k FROM jobs) WHERE k <= 1000 GROUP BY 1)")
+_add("A20_success", _on(jobs, metrics.success), "SELECT type, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'completed') / count(*) * 100, 6) AS rate FROM jobs GROUP BY 1")
+_add("A24_buckets", _on(jobs, metrics.buckets), "SELECT type, le, count(*) FILTER (duration <= le) AS n FROM jobs, (SELECT unnest([1.0::DOUBLE, 5.0, 10.0, 50.0]) AS le) GROUP BY 1, 2")
