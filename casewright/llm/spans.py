@@ -59,7 +59,9 @@ def anchors(units: Units, known: np.ndarray, length: int, k: int):
     """(hash, anchor place, first window, one past the last window, document) of each anchor of a packet."""
     h = units.grams(k)
     w = length - k + 1
-    if len(h) < w:
+    lens = units.ends - units.starts
+    fits = np.where(known, np.maximum(lens - length + 1, 0), 0)
+    if not fits.any():
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     have = 1
@@ -67,8 +69,6 @@ def anchors(units: Units, known: np.ndarray, length: int, k: int):
         step = min(have, w - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    lens = units.ends - units.starts
-    fits = np.where(known, np.maximum(lens - length + 1, 0), 0)
     start = ranges(units.starts, fits)
     doc = np.repeat(np.arange(len(lens)), fits)
     at = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
