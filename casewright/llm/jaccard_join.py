@@ -84,9 +84,10 @@ def _fingerprints(s, a, b):
     return c1[b] - c1[a], c2[b] - c2[a]
 
 
-def spare_classes(differ: int) -> int:
-    """Classes beyond those that D differences can spoil; a document has seldom more classes with a single shingle."""
-    return 1 + differ // 12
+def spare_classes(differ: int, threshold: float) -> int:
+    """Classes beyond those that D differences can spoil; a document has seldom more classes with a single shingle.
+    A lower threshold needs more classes, so they are smaller, and more of them hold one shingle or none."""
+    return 1 + differ // (12 if threshold >= 0.85 else 3)
 
 
 def levels(threshold: float, most: int) -> list[tuple[int, int, int]]:
@@ -95,7 +96,7 @@ def levels(threshold: float, most: int) -> list[tuple[int, int, int]]:
     while low <= most:
         high = max(low, int(low / math.sqrt(threshold)))
         differ = int(math.floor(high * (1 - threshold) / threshold + 1e-9))
-        out.append((low, high, differ + 1 + spare_classes(differ) if differ else 0))
+        out.append((low, high, differ + 1 + spare_classes(differ, threshold) if differ else 0))
         low = high + 1
     return out
 
@@ -118,7 +119,7 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
         high = np.bincount(key, weights=(v >> np.uint64(32)).astype(float), minlength=size).astype(np.uint64)
         total = low + (high << np.uint64(32))
         thick = np.bincount(key, minlength=size) > 1
-        sparse = (classes - thick.reshape(len(docs), classes).sum(axis=1)) > spare_classes(differ)
+        sparse = (classes - thick.reshape(len(docs), classes).sum(axis=1)) > spare_classes(differ, threshold)
         at = np.flatnonzero(thick | thin_too)
         tag = (at % classes).astype(np.uint64) + np.uint64((level << 20) + (salt << 40))
         return mix(total[at] + mix(tag)), docs[at // classes], docs[sparse]
