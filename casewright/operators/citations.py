@@ -58,7 +58,7 @@ def influence(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
     score = known.withColumn("score", F.lit(1.0))
     for k in range(rounds):
         given = pairs.join(score, pairs["citing"] == score["id"]).groupBy(F.col("cited").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        score = known.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        score = known.join(given, "id", "left").select("id", (F.lit(round(1 - damping, 12)) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if k % 3 == 2 and nodes.sparkSession.sparkContext.getCheckpointDir():
             score = score.checkpoint()
     return score
