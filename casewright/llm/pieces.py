@@ -9,8 +9,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers; a word beyond that is encoded each time it occurs.
 REMEMBER = 600_000
+#: Bytes of text whose words are looked up together; a longer text stands alone.
+CHUNK = 8 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
@@ -108,6 +112,7 @@ class Model:
         self._fits: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
+        self._finder = None
         self.memory: dict[str, tuple[int, ...]] = {}
         self.most_open = 0  # most units held back at once, for tests
 
@@ -273,6 +278,43 @@ class Model:
             n -= len(last[n])
         return out[::-1]
 
+    def finder(self) -> ahocorasick.Automaton:
+        """All pieces that merging their own text gives back, found by the places where they end."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for p in self.ids:
+                if self.whole(p):
+                    self._finder.add_word(p, (len(p), p))
+            self._finder.make_automaton()
+        return self._finder
+
+    def fitting(self, text: str) -> list[str]:
+        """As short, for merge-order models: exactly one piece fits at each place, so the first that fits is taken."""
+        n, fits, slow = len(text), self._fits.get, self.fits
+        last: list[str | None] = [""] + [None] * n
+        done = 0  # places up to here have their piece
+        for end, (size, piece) in self.finder().iter(text):
+            while done < end:
+                done += 1
+                if last[done] is None:
+                    last[done] = text[done - 1]  # no piece ends here: a character that the model doesn't know
+            if last[end + 1] is None:
+                prev = last[end + 1 - size]
+                if not prev:
+                    last[end + 1] = piece
+                else:
+                    ok = fits((prev, piece))
+                    if ok or ok is None and slow(prev, piece):
+                        last[end + 1] = piece
+        for k in range(done + 1, n + 1):
+            if last[k] is None:
+                last[k] = text[k - 1]
+        out: list[str] = []
+        while n > 0:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
+
     def normal(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
@@ -289,7 +331,8 @@ class Model:
     def word(self, unit: str) -> tuple[int, ...]:
         found = self.memory.get(unit)
         if found is None:
-            found = tuple(self._ids(self.short(unit) if len(unit) <= 4 * self.longest else self.stream(iter(unit))))
+            near = self.fitting if self.kind == BPE else self.short
+            found = tuple(self._ids(near(unit) if len(unit) <= 4 * self.longest else self.stream(iter(unit))))
             if len(self.memory) < REMEMBER and len(unit) <= 64:
                 self.memory[unit] = found
         return found
@@ -319,6 +362,30 @@ class Model:
         get, word = self.memory.get, self.word
         return np.fromiter(chain.from_iterable([get(u) or word(u) for u in units]), dtype=np.int32)
 
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray | None]:
+        """encode() of each text, None for null: the distinct words of the texts are looked up once, and their ids dealt
+        out to the places of the words."""
+        if not (self.splits_at_marks and self.dummy_prefix):
+            return [None if t is None else self.encode(t) for t in texts.to_pylist()]
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+        codes = words.indices.to_numpy()
+        units = words.dictionary.to_pylist()
+        get, word = self.memory.get, self.word
+        ids = [(get(u) or word(u)) if u else () for u in map(MARK.__add__, units)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
+        n = lens[codes]
+        ends = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        # neighbouring, leading and last spaces, and marks in the text itself, join into stretches: those go one by one
+        empty = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units))[codes] == 0)])[np.concatenate([[0], np.cumsum(sizes)])]
+        alone = (np.diff(empty) > 0) | pc.fill_null(pc.match_substring(texts, MARK), False).to_numpy(zero_copy_only=False)
+        null = texts.is_null().to_numpy(zero_copy_only=False)
+        return [None if null[k] else self.encode(texts[k].as_py()) if alone[k] else out[upto[k] : upto[k + 1]] for k in range(len(texts))]
+
     def decode(self, ids) -> str:
         out: list[str] = []
         ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
@@ -360,6 +427,19 @@ def load(path_or_data) -> Model:
         return Model(f.read())
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most CHUNK bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    begun = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > CHUNK:
+            yield batch.slice(begun, k - begun)
+            begun, held = k, 0
+        held += size
+    if begun < batch.num_rows:
+        yield batch.slice(begun)
+
+
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """One row per row of df, without a shuffle: doc_id, ids array<int>, decoded string.
 
@@ -372,10 +452,8 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(data)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                got = [None if t is None else model.encode(t) for t in texts]
+            for part in _chunks(batch):
+                got = model.encode_all(part.column(1))
                 back = [None if g is None else model.decode(g) for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
@@ -390,13 +468,13 @@ def encode_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(data)
-        for batch in batches:
+        for batch in chain.from_iterable(map(_chunks, batches)):
             rows = []
-            for t in batch.column(1).to_pylist():
-                if t is None:
+            for t, ids in zip(batch.column(1), model.encode_all(batch.column(1)), strict=True):
+                if ids is None:
                     rows.append((0, None, None, None))
                     continue
-                ids = model.encode(t)
+                t = t.as_py()
                 back = model.decode(ids)
                 rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
