@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 #: The file of the public tokenizers that is used unless another path is given.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a worker remembers; a word beyond that is encoded each time it occurs.
-REMEMBER = 600_000
+#: Words whose ids a task remembers; a word beyond that is encoded each time a chunk holds it.
+REMEMBER = 200_000
 #: Bytes of text whose words are looked up together; a longer text stands alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
@@ -159,7 +159,7 @@ class Model:
         time. A merge-order segmentation is the one whose neighbours all fit, so it is a path problem."""
         ok = self._fits.get((a, b))
         if ok is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             left, right, ok = self.edge(a, 1), self.edge(b, 0), True
             i = j = 0
@@ -456,6 +456,7 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 got = model.encode_all(part.column(1))
                 back = [None if g is None else model.decode(g) for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+        model.memory.clear()  # the worker goes on to other stages
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -479,5 +480,6 @@ def encode_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]], names=["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+        model.memory.clear()
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,11 @@ def test_pieces(spark):
         assert ids.tolist() == lib.encode(t) and m.decode(ids) == t
         units = m.normal(t)
         assert list(m.stream(iter(units))) == m.short(units)
+    for size in (1, 3, len(texts)):
+        for k in range(0, len(texts), size):
+            part = [*texts[k : k + size], None, "x▁y  z"]
+            assert [None if x is None else x.tolist() for x in m.encode_all(pa.array(part))] == [None if t is None else lib.encode(t) for t in part]
+    assert m.encode_all(pa.array([], pa.string())) == []
     m.most_open = 0
     list(m.stream(iter("abcdefgh" * 5000)))
     assert m.most_open < 200  # the window doesn't grow with the text
