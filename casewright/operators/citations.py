@@ -51,14 +51,15 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def influence(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """id, score: scores start at 1; each round a node gets 1 - damping, and damping times what its citers hand out
     evenly over their edges. Parallel edges count; nothing is redistributed. Parallel edges are summed beforehand, so a
-    round moves one row per pair."""
+    round moves one row per pair. What a pair gives is counted in whole units of 1e-12, so that the scores don't depend
+    on the order in which rows are summed."""
     out = edges.groupBy("citing").agg(F.count("*").alias("degree"))
     pairs = edges.groupBy("citing", "cited").agg(F.count("*").alias("n")).join(out, "citing").select("citing", "cited", (F.col("n") / F.col("degree")).alias("share"))
     known = nodes.select("id").distinct()
     score = known.withColumn("score", F.lit(1.0))
     for k in range(rounds):
-        given = pairs.join(score, pairs["citing"] == score["id"]).groupBy(F.col("cited").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        score = known.join(given, "id", "left").select("id", (F.lit(round(1 - damping, 12)) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        given = pairs.join(score, pairs["citing"] == score["id"]).groupBy(F.col("cited").alias("id")).agg(F.sum(F.floor(F.col("score") * F.col("share") * 1e12 + 0.5)).alias("units"))
+        score = known.join(given, "id", "left").select("id", (F.lit(round(1 - damping, 12)) + damping * (F.coalesce("units", F.lit(0)).cast("double") / 1e12)).alias("score"))
         if k % 3 == 2 and nodes.sparkSession.sparkContext.getCheckpointDir():
             score = score.checkpoint()
     return score

@@ -48,9 +48,9 @@ _add("C3_components", _on(cases, lambda d: d.select("id", citations.components(F
 _add("J2_A11_degrees", lambda s, d: citations.degrees(cases(s, d), s.table("edges")), "SELECT id, coalesce(i, 0) AS inbound, coalesce(o, 0) AS outbound FROM cases LEFT JOIN (SELECT cited, count(*) AS i FROM edges GROUP BY 1) ON id = cited LEFT JOIN (SELECT citing, count(*) AS o FROM edges GROUP BY 1) ON id = citing")
 _add("G3_most_cited", _on(edges, lambda e: e.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(20)), "SELECT cited AS id, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, id LIMIT 20")
 _add("G6_neighbourhood", _on(edges, lambda e: citations.neighbourhood(e, "case-1", 2, "cited")), "SELECT id, min(d) AS distance FROM (SELECT 'case-1' AS id, 0 AS d UNION ALL SELECT cited, 1 FROM edges WHERE citing = 'case-1' UNION ALL SELECT b.cited, 2 FROM edges a JOIN edges b ON a.cited = b.citing WHERE a.citing = 'case-1') GROUP BY 1")
-_round = "r{n} AS (SELECT id, 0.15 + 0.85 * coalesce(got, 0) AS score FROM cases LEFT JOIN (SELECT cited, sum(score * share) AS got FROM pairs JOIN r{p} ON citing = id GROUP BY 1) ON id = cited)"
-_add("G2_influence", lambda s, d: citations.influence(cases(s, d), s.table("edges")).select("id", F.round("score", 11).alias("score")), None)
-ORACLE_SQL["G2_influence"] = oracle("SELECT 1").removesuffix("SELECT 1") + ", deg AS (SELECT citing AS c, count(*) AS degree FROM edges GROUP BY 1), pairs AS (SELECT citing, cited, count(*)::DOUBLE / max(degree) AS share FROM edges JOIN deg ON c = citing GROUP BY 1, 2), r0 AS (SELECT id, 1.0::DOUBLE AS score FROM cases), " + ", ".join(_round.format(n=k + 1, p=k) for k in range(10)) + " SELECT id, round(score, 11) AS score FROM r10"
+_round = "r{n} AS (SELECT id, 0.15::DOUBLE + 0.85::DOUBLE * (coalesce(units, 0)::DOUBLE / 1e12::DOUBLE) AS score FROM cases LEFT JOIN (SELECT cited, sum(floor(score * share * 1e12::DOUBLE + 0.5::DOUBLE)::BIGINT) AS units FROM pairs JOIN r{p} ON citing = id GROUP BY 1) ON id = cited)"
+_add("G2_influence", lambda s, d: citations.influence(cases(s, d), s.table("edges")), None)
+ORACLE_SQL["G2_influence"] = oracle("SELECT 1").removesuffix("SELECT 1") + ", deg AS (SELECT citing AS c, count(*) AS degree FROM edges GROUP BY 1), pairs AS (SELECT citing, cited, count(*)::DOUBLE / max(degree) AS share FROM edges JOIN deg ON c = citing GROUP BY 1, 2), r0 AS (SELECT id, 1.0::DOUBLE AS score FROM cases), " + ", ".join(_round.format(n=k + 1, p=k) for k in range(10)) + " SELECT id, score FROM r10"
 _add("E1_case_type", _on(cases, lambda d: d.groupBy(quality.case_type(F.col("summary")).alias("case_type")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN regexp_matches(lower(summary), 'prosecution|conviction|guilt') THEN 'criminal' WHEN regexp_matches(lower(summary), 'custody|divorce|child') THEN 'family' WHEN lower(summary) LIKE '%tax%' THEN 'tax' WHEN regexp_matches(lower(summary), 'constitution|judicial review') THEN 'constitutional' WHEN regexp_matches(lower(summary), 'patent|copyright') THEN 'intellectual_property' WHEN lower(summary) LIKE '%contract%' THEN 'contract' WHEN regexp_matches(lower(summary), 'negligence|duty of care') THEN 'tort' ELSE 'civil' END AS case_type, count(*) AS n FROM cases GROUP BY 1")
 _add("A14_quality_metrics", _on(cases, quality.quality_metrics), "SELECT count(*) AS total, count(*) FILTER (quality_score >= 0.8) AS high, count(*) FILTER (quality_score >= 0.6 AND quality_score < 0.8) AS medium, count(*) FILTER (quality_score < 0.6) AS low, round(avg(quality_score), 9) AS average FROM cases")
 _H = "sha256(concat_ws('|', translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', ''), lower(court), lower(jurisdiction)))"
