@@ -6,8 +6,11 @@ import atexit
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of bytes other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text whose words are looked up together; a longer text stands alone.
+CHUNK = 4 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -63,6 +69,19 @@ def parts(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> int:
     return int(max(3 * spark.sparkContext.defaultParallelism, -(-n_bytes // each), 8))
 
 
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most CHUNK bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    begun = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > CHUNK:
+            yield batch.slice(begun, k - begun)
+            begun, held = k, 0
+        held += size
+    if begun < batch.num_rows:
+        yield batch.slice(begun)
+
+
 def sql_words(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -72,8 +91,6 @@ def give_back_memory() -> None:
     try:
         import ctypes
 
-        import pyarrow as pa
-
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 18)  # arrays from 256 KB on are mapped, and unmapped when freed
         libc.mallopt(-1, 1 << 20)

@@ -16,12 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 #: The file of the public tokenizers that is used unless another path is given.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task remembers; a word beyond that is encoded each time a chunk holds it.
 REMEMBER = 200_000
-#: Bytes of text whose words are looked up together; a longer text stands alone.
-CHUNK = 4 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
@@ -427,19 +427,6 @@ def load(path_or_data) -> Model:
         return Model(f.read())
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most CHUNK bytes of text, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-    begun = held = 0
-    for k, size in enumerate(sizes):
-        if held and held + size > CHUNK:
-            yield batch.slice(begun, k - begun)
-            begun, held = k, 0
-        held += size
-    if begun < batch.num_rows:
-        yield batch.slice(begun)
-
-
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """One row per row of df, without a shuffle: doc_id, ids array<int>, decoded string.
 
@@ -452,7 +439,7 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(data)
         for batch in batches:
-            for part in _chunks(batch):
+            for part in chunks(batch):
                 got = model.encode_all(part.column(1))
                 back = [None if g is None else model.decode(g) for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
@@ -469,7 +456,7 @@ def encode_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(data)
-        for batch in chain.from_iterable(map(_chunks, batches)):
+        for batch in chain.from_iterable(map(chunks, batches)):
             rows = []
             for t, ids in zip(batch.column(1), model.encode_all(batch.column(1)), strict=True):
                 if ids is None:

@@ -7,15 +7,17 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, mix, pack_arrays, scratch_path, squeeze, stored, unpack_arrays
+from .common import chunks, expand, mix, pack_arrays, scratch_path, squeeze, stored, unpack_arrays
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of that vocabulary (a fixed value): contractions, letters, digits, others, blanks.
@@ -85,6 +87,37 @@ def encode(encoding, text: str) -> list[int]:
     return out
 
 
+def encode_all(encoding, texts: pa.Array) -> list[np.ndarray]:
+    """encode() of each text, null as empty: the distinct words of the texts are looked up once, and their ids dealt out
+    to the places of the words."""
+    texts = pc.fill_null(texts, "")
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    units = words.dictionary.to_pylist()
+    codes = words.indices.to_numpy().astype(np.int64)
+    some = sizes > 0
+    firsts = [units[c] for c in codes[upto[:-1][some]]]  # the only words without a space before them
+    codes[upto[:-1][some]] = len(units) + np.arange(len(firsts))
+    get, slow, ids = _memory.get, encoding.encode_ordinary, []
+    for unit in [" " + u for u in units] + firsts:
+        found = get(unit)
+        if found is None:
+            found = slow(unit)
+            if len(_memory) < REMEMBER and len(unit) <= 64:
+                _memory[unit] = found
+        ids.append(found)
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), "<u2", int(lens.sum()))
+    n = lens[codes]
+    ends = np.cumsum(n)
+    out = flat[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    at = np.concatenate([[0], ends])[upto]
+    wide = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+    return [np.array(slow(texts[k].as_py()), dtype="<u2") if wide[k] else out[at[k] : at[k + 1]] for k in range(len(texts))]
+
+
 def tokenised(df: DataFrame, id_col: str, text_col: str, length: int, ranks_path: str) -> DataFrame:
     """Stored: part, first (of the part's sequences), n, body: ids, token counts and tokens of the documents that begin
     in these sequences. The stream of a part is its documents, each closed by the end mark, padded at its very end."""
@@ -121,11 +154,10 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, length: int, ranks_path
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tokens", pa.binary())]))
 
         serial = 0
-        for batch in batches:
-            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(encoding, text or "")
-                ids.append(END_OF_TEXT)
-                tokens.append(np.array(ids, dtype="<u2"))
+        for batch in chain.from_iterable(map(chunks, batches)):
+            for one, ids in zip(batch.column(0).to_pylist(), encode_all(encoding, batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint16(END_OF_TEXT))
+                tokens.append(ids)
                 # rows are told apart within a part even where ids repeat or are null
                 owners.append(np.full(len(ids), -1 if one is None else one, dtype=np.int64))
                 held += len(ids)
