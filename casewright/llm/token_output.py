@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -23,7 +24,7 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of that vocabulary (a fixed value): contractions, letters, digits, others, blanks.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = 50256
-REMEMBER = 300_000
+REMEMBER = 450_000
 
 
 class Permutation:
@@ -66,30 +67,14 @@ def _encoder(data: bytes):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_memory: dict[str, list[int]] = {}
-
-
-def encode(encoding, text: str) -> list[int]:
-    """As encoding.encode_ordinary. Where single spaces stand between words, each word with its space is encoded by
-    itself (no piece of the pattern goes over such a space) and remembered."""
-    if "  " in text:
-        return encoding.encode_ordinary(text)
-    words = text.split(" ")
-    get, out = _memory.get, []
-    for i, w in enumerate(words):
-        unit = " " + w if i else w
-        ids = get(unit)
-        if ids is None:
-            ids = encoding.encode_ordinary(unit)
-            if len(_memory) < REMEMBER and len(unit) <= 64:
-                _memory[unit] = ids
-        out += ids
-    return out
+#: Ids of words as little-endian 16-bit numbers.
+_memory: dict[str, bytes] = {}
 
 
 def encode_all(encoding, texts: pa.Array) -> list[np.ndarray]:
-    """encode() of each text, null as empty: the distinct words of the texts are looked up once, and their ids dealt out
-    to the places of the words."""
+    """encoding.encode_ordinary of each text, null as empty. Where single spaces stand between words, each word with its
+    space is encoded by itself (no piece of the pattern goes over such a space): the distinct words of the texts are
+    looked up once, and their ids dealt out to the places of the words."""
     texts = pc.fill_null(texts, "")
     split = pc.split_pattern(texts, " ")
     words = split.flatten().dictionary_encode()
@@ -104,12 +89,12 @@ def encode_all(encoding, texts: pa.Array) -> list[np.ndarray]:
     for unit in [" " + u for u in units] + firsts:
         found = get(unit)
         if found is None:
-            found = slow(unit)
+            found = struct.pack(f"<{len(x := slow(unit))}H", *x)
             if len(_memory) < REMEMBER and len(unit) <= 64:
                 _memory[unit] = found
         ids.append(found)
-    lens = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), "<u2", int(lens.sum()))
+    lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+    flat = np.frombuffer(b"".join(ids), "<u2")
     n = lens[codes]
     ends = np.cumsum(n)
     out = flat[np.repeat((np.cumsum(lens) - lens)[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
