@@ -44,9 +44,16 @@ def flight(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fly(pdf: pd.DataFrame, held: int = 0) -> pd.DataFrame:
+    """held: documents that stay on the ground as they are, evenly over the order of ids, for the landing's exchanges."""
     pdf = pdf.sort_values(["id", "size", "row"], kind="stable", na_position="last")
-    return pdf.assign(p=flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), pdf["noise"].to_numpy()))
+    p, size, noise = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy(), pdf["noise"].to_numpy()
+    flies = np.ones(len(p), dtype=bool)
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    if held and len(open_):
+        flies[open_[np.unique(np.linspace(0, len(open_) - 1, min(held, len(open_))).astype(int))]] = False
+    p[flies] = flight(p[flies], size[flies], noise[flies])
+    return pdf.assign(p=p)
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +69,7 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     for k, i in enumerate(left):
         p[i] = best >> k & 1
     open_ = (begun > EPS) & (begun < 1 - EPS)
-    for _ in range(5):
+    for _ in range(len(pdf)):
         over = float((size * (p - begun)).sum())
         ins, outs = np.flatnonzero(open_ & (p == 1)), np.flatnonzero(open_ & (p == 0))
         if not len(ins) or not len(outs):
@@ -72,12 +79,18 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = outs[np.maximum(at - 1, 0)], outs[np.minimum(at, len(outs) - 1)]
         gap = np.abs(over - np.stack([size[ins] - size[a], size[ins] - size[b]]))
         k, i = np.unravel_index(gap.argmin(), gap.shape)
-        if gap[k, i] >= abs(over):
+        if gap[k, i] > abs(over) - 1e-6:
             break
         p[ins[i]], p[(a, b)[k][i]] = 0.0, 1.0
     return pdf.assign(p=p)
 
 
+def _step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A source's only bucket lands; one of several flies, and holds back its part of half a bucket."""
+    buckets = int(pdf["buckets"].iloc[0])
+    return _land(pdf) if buckets <= 1 else _fly(pdf, BUCKET // 2 // buckets)
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """sources (source, source_size) -> adds weight and target (double). Sources by code point, null last, take the
     weights in turn; targets share `share` of all sizes by weight, none above cap * source_size, the excess reshared."""
@@ -110,8 +123,8 @@ def mix_sources(df: DataFrame, size, id_col: str = "doc_id", source_col: str = "
 
     size: a Column of whole numbers, not null. Each row of a source is due target / source_size times: the whole part
     always, the rest by the cube method in buckets of a source, so that tokens and documents both balance; a source of
-    any size is spread over buckets of about 1000 rows by hash, and what these leave undecided flies again until one
-    bucket a source lands. Null sources form one source; null ids and repeated rows are rows like others; reruns agree
+    any size is spread over buckets of about 1000 rows by hash, and what these leave undecided or hold back flies again
+    until the source is down to one bucket, which lands, whatever the size of other sources. Null sources form one source; null ids and repeated rows are rows like others; reruns agree
     as long as (id, size) tell the rows apart, and rows they don't tell apart are alike. Empty: empty.
     """
     row = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.cast("long").alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
@@ -132,23 +145,23 @@ def mix_sources(df: DataFrame, size, id_col: str = "doc_id", source_col: str = "
     rows = joined.select("b.*", "i.source_size", "i.target", "i.n_docs", whole.cast("long").alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("p"))
     rows = rows.withColumn("noise", (F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30))
     lean = ["id", "row", "source", "size", "source_size", "target", "n_docs", "whole", "p", "noise"]
-    schema = "id long, row long, source string, size long, source_size long, target double, n_docs long, whole long, p double, noise double, bucket long"
+    schema = "id long, row long, source string, size long, source_size long, target double, n_docs long, whole long, p double, noise double, bucket long, buckets long"
     live, done, at, level = rows.select(*lean), [], most or 0, 0
     left = F.col("n_docs")
     while True:
         left = F.ceil(left / BUCKET)  # buckets of this flight, by source
         at = -(-at // BUCKET)
-        live = live.withColumn("bucket", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1 + level)), left).cast("long"))
-        last = at <= 1
-        live = live.groupBy("source", "bucket").applyInPandas(_land if last else _fly, schema)
+        live = live.withColumn("bucket", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1 + level)), left).cast("long")).withColumn("buckets", left.cast("long"))
+        live = live.groupBy("source", "bucket").applyInPandas(_step, schema)
         live = stored(live, "flight")
-        open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-        if last:
+        if at <= 1:
             done.append(live)
             break
+        open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         done.append(live.filter(~open_))
-        live = live.filter(open_).drop("bucket")
-        left, at, level = left * 2, at * 2, level + 1
+        live = live.filter(open_).drop("bucket", "buckets")
+        # at most two undecided a bucket, and those held back
+        left, at, level = left * 2 + BUCKET // 2, at * 2 + BUCKET // 2, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

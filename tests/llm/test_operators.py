@@ -157,6 +157,23 @@ def test_mixing(spark):
     assert spark.sql("select 'a  b c\td' as t").select(sql_words(F.col("t"))).first()[0] == 3
 
 
+@pytest.mark.parametrize("n", [3000, 700])
+def test_mixing_lands_each_source(spark, n):
+    rng = np.random.default_rng(3)
+    rows = [(i, "hot", int(x)) for i, x in enumerate(rng.integers(1, 400, n))]
+    for s in ("a", "b", "c", None):
+        own = [*rng.integers(1, 400, 300).tolist(), 9000]
+        rows += [(len(rows) + k, s, int(x)) for k, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix_sources(df, F.col("size"), weights=(1,), share=1.45, cap=1.7).toPandas()
+    assert sorted(out["id"]) == list(range(len(rows)))
+    for _, own in out.groupby("source", dropna=False):
+        ratio = own["target"].iloc[0] / own["source_size"].iloc[0]
+        assert set(own["copies"]) <= {int(ratio), int(ratio) + 1}
+        assert abs(len(own) * ratio - own["copies"].sum()) <= 1
+        assert abs((own["size"] * own["copies"]).sum() - own["target"].iloc[0]) <= 2
+
+
 def test_chats(spark):
     hard = ["<|im_end|>", "\\<|", "<\\|", "\\\\", "<|im_sep|>x", None, "", "plain"]
     rows = [(k % 3, k, ("user", "assistant", "odd\nrole", None)[k // 2 % 4], t) for k, t in enumerate(hard * 3)] + [(None, 1, "user", "x"), (7, None, "user", "y"), (7, 1, "user", "y"), (7, 1, "user", "y")]
