@@ -132,7 +132,7 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
                 size = b - a
                 # one document for each set of this packet
                 f1, f2 = _fingerprints(s, a, b)
-                order = np.lexsort((p.ids, f2, f1))
+                order = np.lexsort((p.ids, ~p.known, f2, f1))  # a row without id comes after those that have one
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (f1[order][1:] != f1[order][:-1]) | (f2[order][1:] != f2[order][:-1])
                 # null ids link too, through any row with the same set; they can't stand for a set themselves

@@ -107,6 +107,20 @@ def test_jaccard(docs, n, percent):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def varied(text, at):
+    w = text.split()
+    w[at] = "changed"
+    return " ".join(w)
+
+
+def test_jaccard_beside_null_ids(spark):
+    t = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, t), (7, t), (9, varied(t, 0)), (None, varied(t, 99)), (12, "apart from all others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = jaccard_components(df, words=5, percent=80).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (7, 7), (9, 7), (12, 12)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (None, 1), (7, 6), (6, 5)], "a long, b long")
     assert dict(connected_components(e).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
