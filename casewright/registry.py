@@ -56,6 +56,11 @@ _add("A14_quality_metrics", _on(cases, quality.quality_metrics), "SELECT count(*
 _H = "sha256(concat_ws('|', translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', ''), lower(court), lower(jurisdiction)))"
 _add("A16_duplicate_groups", _on(cases, quality.duplicate_groups), f"SELECT {_H} AS hash, count(*) AS n, first(id ORDER BY quality_score DESC, id) AS best FROM cases GROUP BY 1 HAVING count(*) > 1")
 _add("V8_first_seen", _on(cases, quality.first_seen), f"SELECT id, row_number() OVER (PARTITION BY {_H} ORDER BY decision_date, case_key) > 1 AS seen_before FROM cases")
+_FIVE = " UNION ALL ".join(f"SELECT id, decision_date, quality_score, '{k}' AS kind, sha256({v}) AS hash FROM cases WHERE {w}" for k, v, w in (
+    ("case_number", "case_number", "case_number <> ''"), ("case_name", "translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"\'\'', '')", "case_name <> ''"), ("court_case_number", "concat(court, '|', case_number)", "court <> '' AND case_number <> ''"),
+    ("content_fingerprint", "substring(summary, 1, 500)", "strlen(summary) > 100"), ("structural", "concat(jurisdiction, '|', court, '|', case_name, '|', court_level)", "true")))
+_add("A16_hash_groups", _on(cases, lambda d: quality.hash_groups(d).withColumn("ids", F.array_join("ids", ","))), f"SELECT kind, hash, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids, first(id ORDER BY quality_score DESC, id) AS best FROM ({_FIVE}) GROUP BY 1, 2 HAVING count(*) > 1")
+_add("V8_duplication", _on(cases, lambda d: quality.duplication(d).withColumn("seen", F.array_join("seen", ","))), f"SELECT id, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (other <> id), '') AS seen, round(1 - 0.2 * count(*) FILTER (other <> id), 9)::DOUBLE AS score FROM (SELECT *, lag(id) OVER (PARTITION BY kind, hash ORDER BY decision_date, id) AS other FROM ({_FIVE})) GROUP BY id")
 _add("V5_completeness", _on(cases, lambda d: d.select("id", quality.completeness(["case_name", "court", "summary", "status"]).alias("completeness"), F.round(quality.text_quality(F.col("summary"), 60, 70), 6).alias("text_quality"))), "SELECT id, 1.0::DOUBLE AS completeness, CASE WHEN length(summary) < 60 THEN 0.3::DOUBLE WHEN length(summary) > 70 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS text_quality FROM cases")
 _add("T3_normalise", _on(cases, lambda d: d.select("id", quality.normalised(F.col("case_name")).alias("text"))), "SELECT id, translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', '') AS text FROM cases")
 _add("K5_bibtex", _on(cases, lambda d: d.select("id", export.bibtex().alias("entry"))), "SELECT id, concat('@misc{', replace(case_number, ' ', '_'), ',', chr(10), '  title = {', case_name, '},', chr(10), '  year = {', year, '},', chr(10), '  howpublished = {', court, '}', chr(10), '}') AS entry FROM cases")
