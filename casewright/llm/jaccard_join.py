@@ -172,7 +172,7 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """A bucket's documents with equal signatures, as stars round the least id; each pair once."""
+    """A bucket's documents with equal signatures, as stars round the least id; each row with its star once."""
     hs, ids, places, chunks = [], [], [], []
     for chunk, x in zip(table.column("chunk_id").to_pylist(), table.column("payload"), strict=True):
         h, d, own = unpack_arrays(x.as_py())
@@ -186,9 +186,11 @@ def _meetings(table: pa.Table) -> pa.Table:
     new = np.ones(len(h), dtype=bool)
     new[1:] = h[1:] != h[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    pair = np.unique(np.column_stack([ids, ids[head], chunk, place])[ids != ids[head]], axis=0)
-    back = np.unique(np.column_stack([ids, ids, chunk, place])[new & np.append(~new[1:], False)], axis=0)
-    return pa.table({"id": np.concatenate([pair[:, 0], back[:, 0]]), "star": np.concatenate([pair[:, 1], back[:, 1]]), "chunk_id": np.concatenate([pair[:, 2], back[:, 2]]), "place": np.concatenate([pair[:, 3], back[:, 3]])})
+    # every row of a signature that two ids have: an id's rows may differ in their texts
+    group = np.cumsum(new) - 1
+    shared = np.bincount(group, weights=ids != ids[head])[group] > 0 if len(ids) else new
+    pair = np.unique(np.column_stack([ids, ids[head], chunk, place])[shared], axis=0)
+    return pa.table({"id": pair[:, 0], "star": pair[:, 1], "chunk_id": pair[:, 2], "place": pair[:, 3]})
 
 
 class Sets:
@@ -208,8 +210,9 @@ class Sets:
         return both, union
 
 
-def metric_join(sets: Sets, percent: int, n_pivots: int = 8) -> list[tuple[int, int]]:
-    """Links (as rows) that connect exactly what all links at 100 * both >= percent * union connect.
+def metric_join(sets: Sets, percent: int, n_pivots: int = 8, node: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (as rows) that connect exactly what all links at 100 * both >= percent * union connect. node: rows with an
+    equal value are one node, connected from the start.
 
     Recursive: pivots, regions of the nearest pivot, documents within twice the radius of a boundary replicated. A
     document linked to a pivot is joined to it at once; what is already connected needs no further comparison, so a
@@ -217,6 +220,9 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 8) -> list[tuple[int,
     n = len(sets.lens)
     radius = 1 - percent / 100
     parent = np.arange(n)
+    if node is not None and n:
+        _, at, which = np.unique(node, return_index=True, return_inverse=True)
+        parent = at[which]
     links: list[tuple[int, int]] = []
 
     def root(x: int) -> int:
@@ -316,7 +322,7 @@ def _join_ball(percent: int):
         ids = table.column("id").to_numpy()
         lens = table.column("size").to_numpy()
         values = np.frombuffer(b"".join(x.as_py() for x in table.column("values")), dtype=np.uint64)
-        links = metric_join(Sets(values, lens), percent)
+        links = metric_join(Sets(values, lens), percent, node=ids)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
 
     return run
@@ -348,9 +354,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = small.mapInArrow(_signatures(words, threshold, common, n, most or 0), "bucket int, chunk_id long, payload binary")
     met = stored(signed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meetings, "id long, star long, chunk_id long, place long"), "meetings")
     balls = connected_components(met.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    # one place where each document of a ball can be read
-    where = met.groupBy("id").agg(F.min(F.struct("chunk_id", "place")).alias("w"))
-    asked = where.join(balls, "id").select(F.col("component_id").alias("ball"), "id", F.col("w.chunk_id").alias("chunk_id"), F.col("w.place").alias("place"))
+    # the places where the documents of a ball are read, one for each set of an id in a packet
+    where = met.select("id", "chunk_id", "place").distinct()
+    asked = where.join(balls, "id").select(F.col("component_id").alias("ball"), "id", "chunk_id", "place")
     sets = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(stored(asked, "asked").repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_gather(words), "ball long, id long, size long, values binary")
     links = sets.repartition(n, "ball").groupBy("ball").applyInArrow(_join_ball(percent), "a long, b long")
     # rows with one set are linked through the least id

@@ -23,11 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8: the one with the least doc_id."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs, words=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group that five-word shingles link at 0.8: the one with the least doc_id, null
+    last, and of rows that repeat it the first. Rows are documents, whether or not they share an id."""
+    docs = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_components(docs, id_col="row", words=5, percent=80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    ranked = groups.join(docs.select("row", "doc_id"), "row").select("row", "group", rank.alias("rank"))
+    first = ranked.groupBy("group").agg(F.count("*").alias("n"), F.min("rank").alias("first")).filter("n > 1")
+    gone = ranked.join(first, "group").filter("row <> first.row").select("row")
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

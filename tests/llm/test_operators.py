@@ -121,6 +121,25 @@ def test_jaccard_beside_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (7, 7), (9, 7), (12, 12)]
 
 
+def test_jaccard_repeated_ids(spark):
+    t, u = (" ".join(f"{x}{k}" for k in range(100)) for x in "tu")
+    rows = [(1, t), (1, u), (2, varied(t, 0)), (3, varied(u, 0)), (4, "apart from all others"), (5, u), (5, "a b c d e f g")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+        got = jaccard_components(df, words=5, percent=80).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (5, 1)]
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    import corpus_pipeline
+
+    t, u = (" ".join(f"{x}{k}" for k in range(100)) for x in "tu")
+    rows = [(1, t), (1, t), (1, u), (2, varied(t, 0)), (None, u), (None, "v " * 9), (None, "v " * 9), (None, t), (8, ""), (8, None), (9, "apart from all others")]
+    df = spark.createDataFrame([(i, x, "en", "s", k) for k, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == sorted([(1, t), (1, u), (0, "v " * 9), (8, ""), (8, ""), (9, "apart from all others")])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (None, 1), (7, 6), (6, 5)], "a long, b long")
     assert dict(connected_components(e).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
