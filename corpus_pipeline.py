@@ -55,7 +55,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("mixing sources", mixture), ("sentencepiece", pieces)]
 
-#: Weak-label fitting, byte passages and piece encoding have no SQL; tests hold the stages against brute force.
+#: Weak-label fitting, byte passages and piece encoding have no SQL. No test recomputes run()'s rows.
 ORACLE_SQL = None
 
 
