@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset and the master is local (tests), a temporary one is
+    set. On a cluster it must be named, since executors don't share the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="casewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -46,17 +50,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by stored() that nothing reads any more."""
+    entry = (df.sparkSession, df.scratch)
+    if entry in _made:
+        _made.remove(entry)
+        _delete(*entry)
 
 
 def clear_scratch() -> None:
     """Deletes the scratch tables this process has made. Frames that read them can't be used afterwards."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001  the session has gone; its files are the cluster's to expire
             return
 
@@ -99,7 +115,8 @@ def give_back_memory() -> None:
         return  # another C library; it manages by itself
 
 
-give_back_memory()
+if TaskContext.get() is not None:  # in workers only; the driver's settings are its own
+    give_back_memory()
 
 # ---- numpy hashing ------------------------------------------------------------------------------
 

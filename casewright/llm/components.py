@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     component_id is the smallest id reachable. Ids that occur in no edge are not listed; null ends and loops are
     ignored; an empty table gives an empty result. Each step points nodes at the least neighbour, so a hub's list
-    shrinks by aggregation (min) and is never collected; each round's edges are written to the shared folder.
+    shrinks by aggregation (min) and is never collected (a hub's join partition is AQE's to split); each round's edges
+    are written to the shared folder, and the round before is deleted. Two rounds are equal if their number of edges and
+    two 64-bit digests of them are.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -30,9 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )
-        e = stored(small.select("x.u", "x.v").filter("u <> v").distinct(), "cc")
+        before, e = e, stored(small.select("x.u", "x.v").filter("u <> v").distinct(), "cc")
+        discard(before)
         # stable once every node has one parent and no parent is a child
-        state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        h = F.xxhash64("u", "v")
+        state = e.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state

@@ -352,7 +352,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = np.sort(np.array([r[0] for r in often.select("common").collect()], dtype=np.int64).view(np.uint64))
     n = parts(spark, total)
     signed = small.mapInArrow(_signatures(words, threshold, common, n, most or 0), "bucket int, chunk_id long, payload binary")
-    met = stored(signed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_meetings, "id long, star long, chunk_id long, place long"), "meetings")
+    met = stored(signed.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_meetings, "id long, star long, chunk_id long, place long"), "meetings")
     balls = connected_components(met.select(F.col("id").alias("a"), F.col("star").alias("b")))
     # the places where the documents of a ball are read, one for each set of an id in a packet
     where = met.select("id", "chunk_id", "place").distinct()

@@ -289,15 +289,17 @@ def earlier_spans(df: DataFrame, id_col: str, text_col: str, unit: str, length:
     """Runs A to D. finish(packet, units, covered) -> columns; covered: boolean by unit, True where it is removed."""
     if length < 2 * ANCHOR[unit]:
         raise ValueError(f"length must be at least {2 * ANCHOR[unit]} {unit}s")
+    if length > 32_767:
+        raise ValueError("length must be at most 32767, for places in a segment are 16-bit numbers")
     packets = packed(df, id_col, text_col, list(keep))
     total = packets.agg(F.sum("n_bytes")).first()[0] or 0
     spark = df.sparkSession
     n = parts(spark, total)
     small = packets.select("chunk_id", "head", "data")
     sent = small.mapInArrow(_send_anchors(unit, length, n), "bucket int, chunk_id long, hashes binary")
-    flags = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk_id long, hashes binary")
+    flags = sent.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_repeated, "chunk_id long, hashes binary")
     segments = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(flags.repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_send_segments(unit, length, n), _SEGMENTS)
-    runs = segments.repartition(n, "bucket").groupBy("bucket").applyInArrow(_solve(solver, unit, length), "chunk_id long, runs binary")
+    runs = segments.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_solve(solver, unit, length), "chunk_id long, runs binary")
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
