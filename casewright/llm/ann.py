@@ -74,7 +74,7 @@ def meet(index: DataFrame, queries: DataFrame, shards: int, n_queries: int, run,
             return run(None, np.zeros(0, np.int64), np.zeros((0, 0)))
         return run(from_rows(graph), rows.column("id").to_numpy(), matrix(rows.column("embedding")))
 
-    left, right = left.repartition(n, "cell"), right.repartition(n, "cell")
+    left, right = left.repartitionById(n, F.col("cell")), right.repartitionById(n, F.col("cell"))
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(both, schema)
 
 
@@ -98,7 +98,7 @@ def build_index(df: DataFrame, m: int = 12, beam: int = 48) -> tuple[DataFrame,
         return to_rows(table.column("shard")[0].as_py(), [*own, *graph.arrays()])
 
     sharded = df.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    built = sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(make, INDEX)
+    built = sharded.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(make, INDEX)
     return stored(built, "index"), shards
 
 
@@ -108,15 +108,16 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
 
     queries: rows with the same columns, by default those of df whose id is divisible by 20. Vectors that are null,
     empty, all zero, or hold null or non-finite components, and rows with a null id, take no part. Vectors must have
-    one length. Exact copies share one node, with the k + 1 smallest ids. Empty tables give an empty result.
+    one length. Exact copies share one node, with the k + 1 smallest ids. An id is listed once for a query: rows that
+    repeat an id count by their best product, on either side. Empty tables give an empty result.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("embedding")).filter(F.col("id").isNotNull() & usable(F.col("embedding")))
     asked = rows.filter("id % 20 = 0") if queries is None else queries.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("embedding")).filter(F.col("id").isNotNull() & usable(F.col("embedding")))
     # -0.0 and 0.0 give the same products; grouping by the text of the vector would split them, so add zero
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))
     few = Window.partitionBy("embedding").orderBy("id")
-    kept = rows.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= k + 1)
-    nodes = kept.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("copies")).select(F.element_at("copies", 1).alias("id"), "embedding", "copies")
+    kept = rows.withColumn("n", F.dense_rank().over(few)).filter(F.col("n") <= k + 1)
+    nodes = kept.groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("copies")).select(F.element_at("copies", 1).alias("id"), "embedding", "copies")
     index, shards = build_index(stored(nodes, "nodes"))
     asked = stored(asked, "queries")
     types = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -138,7 +139,10 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
             at = np.repeat(first[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             cand, s = copies[at], np.repeat(score, n)
             s, cand = s[cand != ids[q]], cand[cand != ids[q]]
-            top = np.lexsort((cand, -s))[:k]
+            top = np.lexsort((cand, -s))
+            if len(np.unique(cand)) < len(cand):  # an id with several vectors: its best product
+                top = top[np.sort(np.unique(cand[top], return_index=True)[1])]
+            top = top[:k]
             out_q.append(np.full(len(top), ids[q]))
             out_v.append(cand[top])
             out_s.append(s[top])
@@ -146,6 +150,7 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
 
     n_asked = asked.count()
     found = meet(index, asked, shards, n_asked, run, "query_id long, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one shuffle for both
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
