@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -93,6 +93,8 @@ class Model:
                         extra_spaces = bool(v)
         if charsmap or extra_spaces:
             raise ValueError("only models with identity normalisation that keep all spaces are supported")
+        if USER in self.types:
+            raise ValueError("models with user-defined pieces are not supported")
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER)}
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
@@ -106,6 +108,8 @@ class Model:
         self.unknown_score = min(known) - 10
         #: no piece goes over from a word into the next: then all paths meet before each mark
         self.splits_at_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        if MARK not in self.ids and not self.byte_fallback:
+            self.splits_at_marks = False  # a run of unknown characters, one id, may go over a mark
         self.texts = [p.replace(MARK, " ") for p in self.pieces]
         self.byte_of = {i: x for x, i in self.bytes.items()}
         self.special = {i for i, t in enumerate(self.types) if t in (CONTROL, BYTE, UNKNOWN)}
@@ -184,155 +188,104 @@ class Model:
 
     # ---- Viterbi ---------------------------------------------------------------------------------
 
-    def stream(self, chars: Iterator[str]) -> Iterator[str]:
-        """Pieces of a stream of characters. Only the last `longest` places can still get successors; as soon as their
-        backpointers all pass one boundary, what lies before it is given out and forgotten."""
-        text: list[str] = []  # characters after the last given-out boundary
+    def stream(self, parts: Iterable[str]) -> Iterator[str]:
+        """Pieces of a text that comes in parts, by Viterbi over the places where pieces end. A piece begins at most
+        `longest` characters before it ends, so only the last `longest` places can still get successors; as soon as the
+        backpointers of all of them pass one boundary, the pieces before it are given out and their places forgotten.
+
+        Unigram models take the best sum of scores, the longer piece of equals. In a merge-order model exactly one piece
+        fits at each place, so the first that fits is taken. A character in no piece is a piece of its own."""
+        bpe, scores, ids, fits, slow, longest = self.kind == BPE, self.scores, self.ids, self._fits.get, self.fits, self.longest
+        last: list[str | None] = [""]  # the last piece of the best path to each place of the window
         score = [0.0]
-        back = [0]  # start of the last piece, for each place
-        since = 0
-        for c in chars:
-            text.append(c)
-            i = len(text)
-            best, start = None, i - 1
-            for j in range(max(0, i - self.longest), i):
-                piece = "".join(text[j:i])
-                n = self.ids.get(piece)
-                if n is None and j < i - 1 or score[j] is None:
-                    continue
-                if self.kind == BPE:
-                    prev = "".join(text[back[j] : j]) if j else ""
-                    if self.whole(piece) and (not prev or self.fits(prev, piece)) or n is None and j == i - 1 and not prev:
-                        best, start = 0.0, j
-                        break  # exactly one piece fits
-                else:
-                    s = score[j] + (self.scores[n] if n is not None else self.unknown_score)
-                    if best is None or s > best:
-                        best, start = s, j
-            score.append(best)
-            back.append(start)
-            since += 1
-            self.most_open = max(self.most_open, len(text))
-            if since >= self.longest and len(text) >= 2 * self.longest:
-                since = 0
-                # boundaries on the path of each place that is still open
-                alive = [k for k in range(i - self.longest + 1, i + 1) if score[k] is not None]
-                common: set[int] | None = None
-                for k in alive:
-                    path = set()
-                    while k > 0:
-                        path.add(k)
-                        k = back[k]
-                    common = path if common is None else common & path
-                cut = max(common or {0})
-                if cut > 0:
-                    # the piece before the boundary stays, since its successor must fit it
-                    cut = back[cut]
-                if cut > 0:
-                    yield from _path(text, back, cut)
-                    text = text[cut:]
-                    back = [max(0, b - cut) for b in back[cut:]]
-                    base = score[cut] or 0.0
-                    score = [None if s is None else s - base for s in score[cut:]]
-        yield from _path(text, back, len(text))
-
-    def short(self, text: str) -> list[str]:
-        """The same recurrence for a unit so short that its whole lattice is the window."""
-        n, table, fits = len(text), self.prefixes, self._fits
-        bpe, scores, ids = self.kind == BPE, self.scores, self.ids
-        last: list[str | None] = [""] + [None] * n  # the last piece of the best path to each place
-        score = [-math.inf] * (n + 1)
-        score[0] = 0.0
-        for j in range(n):
-            prev = last[j]
-            if prev is None:
-                continue
-            for k in range(j + 1, n + 1):
-                piece = text[j:k]
-                kind = table.get(piece)  # None: no piece begins so; 0: only longer ones; 1: a piece; 2: not yet known
-                if kind is None or kind == 0 and k == j + 1:
-                    if k > j + 1:
-                        break
-                elif kind == 0:
-                    continue
+        base = seen = done = 0  # place of index 0; characters before this part; places with their piece, by index
+        check = 2 * longest
+        search = None
+        for part in parts:
+            if search is None:
+                search = self.finder().iter(part)
+            else:
+                search.set(part)
+            last += [None] * len(part)
+            if not bpe:
+                score += [-math.inf] * len(part)
+            ends = chain(search, ((seen + len(part), None),))  # the end of the part settles what is left
+            for end, found in ends:
+                to = end + 1 - base
+                while done < to - 1:
+                    done += 1
+                    if bpe:
+                        if last[done] is None:
+                            last[done] = part[base + done - seen - 1]
+                    elif (c := part[base + done - seen - 1]) not in ids and score[done - 1] + self.unknown_score > score[done]:
+                        last[done], score[done] = c, score[done - 1] + self.unknown_score
+                    if done >= check:
+                        self.most_open = max(self.most_open, done)
+                        cut = self._boundary(last, done)
+                        yield from _path(last, cut)
+                        del last[:cut]
+                        if not bpe:
+                            del score[:cut]
+                            score = [x - score[0] for x in score]
+                        last[0] = ""
+                        base, done, to = base + cut, done - cut, to - cut
+                        check = max(2 * longest, done + longest)
+                if found is None:
+                    break
+                size, piece = found
+                prev = last[to - size]
                 if bpe:
-                    if kind == 2:
-                        kind = table[piece] = 1 if self.whole(piece) else 0
-                        if not kind:
-                            continue
-                    if prev:
-                        ok = fits.get((prev, piece))
-                        if ok or ok is None and self.fits(prev, piece):
-                            last[k] = piece  # exactly one piece fits
-                    else:
-                        last[k] = piece
+                    if last[to] is None:
+                        ok = not prev or fits((prev, piece))
+                        if ok or ok is None and slow(prev, piece):
+                            last[to] = piece
+                elif (s := score[to - size] + scores[ids[piece]]) > score[to]:
+                    last[to], score[to] = piece, s
+            seen += len(part)
+        yield from _path(last, len(last) - 1)
+
+    def _boundary(self, last: list[str], done: int) -> int:
+        """A boundary that the best paths to all open places share: the start of the last piece they all go through,
+        for that piece's successor must still fit it."""
+        low = done
+        for k in range(max(0, done - self.longest + 1), done):
+            while k != low:  # the later of two places goes back until they meet
+                if k > low:
+                    k -= len(last[k])
                 else:
-                    s = score[j] + (scores[ids[piece]] if kind else self.unknown_score)
-                    if s > score[k]:
-                        score[k], last[k] = s, piece
-                if kind is None:
-                    break
-        out: list[str] = []
-        while n > 0:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+                    low -= len(last[low])
+        return low - len(last[low]) if low > 0 else 0
 
     def finder(self) -> ahocorasick.Automaton:
-        """All pieces that merging their own text gives back, found by the places where they end."""
+        """The pieces by the places where they end; of a merge-order model, those that merging their own text gives back."""
         if self._finder is None:
             self._finder = ahocorasick.Automaton()
             for p in self.ids:
-                if self.whole(p):
+                if self.kind != BPE or self.whole(p):
                     self._finder.add_word(p, (len(p), p))
             self._finder.make_automaton()
         return self._finder
 
-    def fitting(self, text: str) -> list[str]:
-        """As short, for merge-order models: exactly one piece fits at each place, so the first that fits is taken."""
-        n, fits, slow = len(text), self._fits.get, self.fits
-        last: list[str | None] = [""] + [None] * n
-        done = 0  # places up to here have their piece
-        for end, (size, piece) in self.finder().iter(text):
-            while done < end:
-                done += 1
-                if last[done] is None:
-                    last[done] = text[done - 1]  # no piece ends here: a character that the model doesn't know
-            if last[end + 1] is None:
-                prev = last[end + 1 - size]
-                if not prev:
-                    last[end + 1] = piece
-                else:
-                    ok = fits((prev, piece))
-                    if ok or ok is None and slow(prev, piece):
-                        last[end + 1] = piece
-        for k in range(done + 1, n + 1):
-            if last[k] is None:
-                last[k] = text[k - 1]
-        out: list[str] = []
-        while n > 0:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
-
     def normal(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
     def _ids(self, pieces: Iterator[str]) -> Iterator[int]:
+        """Ids of pieces; unknown characters as bytes, or a run of them as one unknown id."""
+        run = False
         for p in pieces:
             n = self.ids.get(p)
             if n is not None:
                 yield n
             elif self.byte_fallback:
                 yield from (self.bytes[x] for x in p.encode("utf-8", "surrogatepass"))
-            else:
+            elif not run:
                 yield self.unknown
+            run = n is None
 
     def word(self, unit: str) -> tuple[int, ...]:
         found = self.memory.get(unit)
         if found is None:
-            near = self.fitting if self.kind == BPE else self.short
-            found = tuple(self._ids(near(unit) if len(unit) <= 4 * self.longest else self.stream(iter(unit))))
+            found = tuple(self._ids(self.stream((unit,))))
             if len(self.memory) < REMEMBER and len(unit) <= 64:
                 self.memory[unit] = found
         return found
@@ -343,7 +296,7 @@ class Model:
         if not norm:
             return np.zeros(0, dtype=np.int32)
         if not self.splits_at_marks:
-            return np.fromiter(self._ids(self.stream(iter(norm))), dtype=np.int32)
+            return np.fromiter(self._ids(self.stream((norm,))), dtype=np.int32)
         units = norm.split(MARK)
         first = units[0]
         if "" in units[1:]:  # neighbouring spaces: their marks belong to one stretch
@@ -411,11 +364,11 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def _path(text: list[str], back: list[int], upto: int) -> list[str]:
+def _path(last: list[str], upto: int) -> list[str]:
     out = []
     while upto > 0:
-        out.append("".join(text[back[upto] : upto]))
-        upto = back[upto]
+        out.append(last[upto])
+        upto -= len(last[upto])
     return out[::-1]
 
 
@@ -431,6 +384,10 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of df, without a shuffle: doc_id, ids array<int>, decoded string.
 
     Whole texts, in batches of rows; no begin or end marks are added. Null text: null ids and decoded. Empty: no ids.
+    A text of any length passes through a window; a run of unknown characters is one unknown id. Models with a
+    normalisation table, that drop spaces, or with user-defined pieces are refused with a ValueError. Unigram scores
+    are summed in double precision from the last boundary, so of paths that tie (the library's single-precision sums
+    may part them by rounding) another one may be taken.
     Other columns are not read. The driver reads the model file (0.5 MB) and sends it along.
     """
     with open(model_path, "rb") as f:
