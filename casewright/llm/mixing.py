@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def flight(p: np.ndarray, size: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 def _fly(pdf: pd.DataFrame, held: int = 0) -> pd.DataFrame:
     """held: documents that stay on the ground as they are, evenly over the order of ids, for the landing's exchanges."""
-    pdf = pdf.sort_values(["id", "size", "row"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["id", "size", "tie", "row"], kind="stable", na_position="last")
     p, size, noise = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy(), pdf["noise"].to_numpy()
     flies = np.ones(len(p), dtype=bool)
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
@@ -85,10 +86,13 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
-def _step(pdf: pd.DataFrame) -> pd.DataFrame:
+def _step(table: pa.Table) -> pa.Table:
     """A source's only bucket lands; one of several flies, and holds back its part of half a bucket."""
-    buckets = int(pdf["buckets"].iloc[0])
-    return _land(pdf) if buckets <= 1 else _fly(pdf, BUCKET // 2 // buckets)
+    buckets = table.column("buckets")[0].as_py()
+    pdf = table.drop_columns(["id"]).to_pandas()
+    pdf["id"] = table.column("id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)  # a null leaves the others whole numbers
+    out = _land(pdf) if buckets <= 1 else _fly(pdf, BUCKET // 2 // buckets)
+    return pa.Table.from_pandas(out, schema=table.schema, preserve_index=False)
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -124,16 +128,24 @@ def mix_sources(df: DataFrame, size, id_col: str = "doc_id", source_col: str = "
     size: a Column of whole numbers, not null. Each row of a source is due target / source_size times: the whole part
     always, the rest by the cube method in buckets of a source, so that tokens and documents both balance; a source of
     any size is spread over buckets of about 1000 rows by hash, and what these leave undecided or hold back flies again
-    until the source is down to one bucket, which lands, whatever the size of other sources. Null sources form one source; null ids and repeated rows are rows like others; reruns agree
-    as long as (id, size) tell the rows apart, and rows they don't tell apart are alike. Empty: empty.
+    until the source is down to one bucket, which lands, whatever the size of other sources. The landing ends with
+    exchanges of one document for another, a departure from the cube method that trades some of the inclusion chances of
+    that bucket's documents for tokens nearer to the target. Null sources form one source; null ids and repeated rows
+    are rows like others. Where more rows of a source than a bucket holds share (id, size), they are told apart by their
+    place in the scan, so no bucket grows with them; reruns agree as long as the table is read in the same splits then,
+    and always otherwise. Empty: empty.
     """
     row = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.cast("long").alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
-    if keep:
-        base = row.withColumn("row", F.monotonically_increasing_id())
+    given = base = stored(row.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    # (id, size) that a bucket can't hold: none, unless ids are null or repeat
+    hot = base.groupBy("source", "id", "size").count().filter(F.col("count") > BUCKET).select("source", "id", "size", F.lit(True).alias("hot"))
+    hot = stored(hot, "hot")
+    if not hot.isEmpty():
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("source", "id", "size")]
+        base = base.alias("b").join(hot.alias("h"), same, "left").select("b.*", F.when(F.col("hot"), F.col("row")).otherwise(0).alias("tie"))
     else:
-        base = row.withColumn("row", F.lit(0).cast("long"))
-    base = stored(base, "sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+        base = base.withColumn("tie", F.lit(0).cast("long"))
+    sums = given.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sums = stored(sums, "sums")
     targets = source_targets(sums.select("source", "source_size"), weights, share, cap)
     info = targets.alias("t").join(sums.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.source", "t.source_size", "t.target", "s.n_docs")
@@ -143,16 +155,16 @@ def mix_sources(df: DataFrame, size, id_col: str = "doc_id", source_col: str = "
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + F.lit(EPS))
     rows = joined.select("b.*", "i.source_size", "i.target", "i.n_docs", whole.cast("long").alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("p"))
-    rows = rows.withColumn("noise", (F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30))
-    lean = ["id", "row", "source", "size", "source_size", "target", "n_docs", "whole", "p", "noise"]
-    schema = "id long, row long, source string, size long, source_size long, target double, n_docs long, whole long, p double, noise double, bucket long, buckets long"
+    rows = rows.withColumn("noise", (F.pmod(F.xxhash64("id", "size", "tie", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30))
+    lean = ["id", "row", "tie", "source", "size", "source_size", "target", "n_docs", "whole", "p", "noise"]
+    schema = "id long, row long, tie long, source string, size long, source_size long, target double, n_docs long, whole long, p double, noise double, bucket long, buckets long"
     live, done, at, level = rows.select(*lean), [], most or 0, 0
     left = F.col("n_docs")
     while True:
         left = F.ceil(left / BUCKET)  # buckets of this flight, by source
         at = -(-at // BUCKET)
-        live = live.withColumn("bucket", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1 + level)), left).cast("long")).withColumn("buckets", left.cast("long"))
-        live = live.groupBy("source", "bucket").applyInPandas(_step, schema)
+        live = live.withColumn("bucket", F.pmod(F.xxhash64("id", "size", "tie", F.lit(seed + 1 + level)), left).cast("long")).withColumn("buckets", left.cast("long"))
+        live = live.groupBy("source", "bucket").applyInArrow(_step, schema)
         live = stored(live, "flight")
         if at <= 1:
             done.append(live)
@@ -168,7 +180,7 @@ def mix_sources(df: DataFrame, size, id_col: str = "doc_id", source_col: str = "
     out = out.select("id", "row", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
     if not keep:
         return out.drop("row")
-    back = base.select(F.col("row"), *[f"keep_{c}" for c in keep])
+    back = given.select(F.col("row"), *[f"keep_{c}" for c in keep])
     return out.join(back, "row").select("id", "source", "size", "source_size", "target", "copies", *[F.col(f"keep_{c}").alias(f"kept_{c}") for c in keep])
 
 
