@@ -12,62 +12,61 @@ from .common import loads, ranges
 from .spans import covered_runs, earlier_spans
 
 
-def smaller_neighbours(rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smaller_neighbours(rank_of: np.ndarray, near: np.ndarray | None = None):
     """Previous and next smaller values: for each i the nearest j < i (-1) and j > i (n) with rank_of[j] < rank_of[i].
-    Pointers jump over what is already known to be no smaller, so runs of equal or falling values take few rounds."""
+    Pointers jump over what is already known to be no smaller, so runs of equal or falling values take few rounds.
+    near[i]: what i has in common with i - 1. Given it, the least of near on the way to each neighbour is returned too."""
     n = len(rank_of)
-    prev = np.arange(-1, n - 1)
-    todo = np.arange(n)
-    while len(todo):
-        j = prev[todo]
-        todo = todo[(j >= 0) & (rank_of[np.maximum(j, 0)] >= rank_of[todo])]
-        prev[todo] = prev[prev[todo]]
-    nxt = np.arange(1, n + 1)
-    todo = np.arange(n)
-    while len(todo):
-        j = nxt[todo]
-        todo = todo[(j < n) & (rank_of[np.minimum(j, n - 1)] >= rank_of[todo])]
-        nxt[todo] = nxt[nxt[todo]]
-    return prev, nxt
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling."""
-    n = len(data)
-    rank = data.astype(np.int64) + 1
-    step = 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[: max(0, n - step)] = rank[step:]
-        order = np.lexsort((second, rank))
-        r, s = rank[order], second[order]
-        new = np.zeros(n, dtype=np.int64)
-        new[order] = 1 + np.cumsum(np.concatenate([[0], (r[1:] != r[:-1]) | (s[1:] != s[:-1])]))[:n]
-        rank = new
-        if n == 0 or rank.max() == n:
-            return order
-        step *= 2
-
-
-def longest_previous_factors(data: bytes) -> np.ndarray:
-    """lpf[i]: length of the longest factor at i that also starts at a smaller place (matches may overlap)."""
-    x = np.frombuffer(data, dtype=np.uint8)
-    n = len(x)
-    sa = suffix_array(x)
-    lpf = np.zeros(n, dtype=np.int64)
-    prev, nxt = smaller_neighbours(sa)
-    for other, bound in ((prev, -1), (nxt, n)):
-        for i in np.flatnonzero(other != bound):
-            a, b, m = sa[i], sa[other[i]], 0
-            while a + m < n and x[a + m] == x[b + m]:
-                m += 1
-            lpf[a] = max(lpf[a], m)
-    return lpf
+    out = []
+    for step, wall in ((-1, -1), (1, n)):
+        at = np.arange(n) + step
+        low = np.zeros(n, dtype=np.int16)
+        if near is not None and n:
+            low = near.astype(np.int16) if step < 0 else np.append(near[1:], 0).astype(np.int16)
+        todo = np.arange(n)
+        while len(todo):
+            j = at[todo]
+            inside = (j >= 0) & (j < n)
+            todo, j = todo[inside], j[inside]
+            more = rank_of[j] >= rank_of[todo]
+            todo, j = todo[more], j[more]
+            low[todo], at[todo] = np.minimum(low[todo], low[j]), at[j]
+        low[at == wall] = 0
+        out += [at, low]
+    return (out[0], out[2]) if near is None else tuple(out)
+
+
+def suffix_order(data: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at `place` by their first `length` bytes, and what each has in common with the
+    one before: whole 8-byte words, in bytes, and `length` where all is equal. `length` bytes of data follow each place."""
+    view, words, tail = loads(data), -(-length // 8), length % 8
+    keep = np.uint64((~((1 << (8 * (8 - tail))) - 1) & ((1 << 64) - 1)) if tail else (1 << 64) - 1)
+    keys = [view[place + 8 * j].byteswap() for j in range(words)]
+    keys[-1] = keys[-1] & keep
+    sa = np.lexsort(keys[::-1])
+    near = np.zeros(len(sa), dtype=np.int16)
+    same = np.ones(len(sa), dtype=bool)
+    same[:1] = False
+    for j, k in enumerate(keys):
+        k = k[sa]
+        same[1:] &= k[1:] == k[:-1]
+        near[same] = min(8 * (j + 1), length)
+    return sa, near
+
+
+def longest_previous_factors(data: np.ndarray, place: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix, what it has in common with the nearest suffixes, before and after it in suffix order, of a smaller
+    document: the longest factor there that an earlier document has too, in 8-byte words up to `length`. Exact at
+    `length`: it is reached if and only if an earlier document holds the first `length` bytes."""
+    sa, near = suffix_order(data, place, length)
+    _, before, _, after = smaller_neighbours(doc[sa], near)
+    out = np.empty(len(sa), dtype=np.int16)
+    out[sa] = np.maximum(before, after)
+    return out
 
 
 def suffix_order_solver(h, off, start, n_win, ids, body, length):
-    """Suffixes of one bucket's segments in order of their first `length` bytes; a window is a later copy if the
-    previous or next smaller document in that order is reached over common prefixes of at least `length`."""
+    """The windows of one bucket's segments whose longest previous factor has `length` bytes: later copies."""
     dup = np.zeros(int(n_win.sum()), dtype=bool)
     base = np.cumsum(n_win) - n_win
     order = np.argsort(h, kind="stable")
@@ -76,34 +75,18 @@ def suffix_order_solver(h, off, start, n_win, ids, body, length):
     new[1:] = g[1:] != g[:-1]
     size = np.bincount(np.cumsum(new) - 1) if len(g) else np.zeros(0, np.int64)
     order = order[np.repeat(size > 1, size)]  # an anchor with one segment has nothing to match
-    view, words, tail = loads(body), -(-length // 8), length % 8
-    keep = np.uint64((~((1 << (8 * (8 - tail))) - 1) & ((1 << 64) - 1)) if tail else (1 << 64) - 1)
+    reach = np.cumsum(n_win[order])
     done = 0
     while done < len(order):
         # blocks of some 400,000 windows, cut between anchors
-        upto = done + max(1, int(np.searchsorted(np.cumsum(n_win[order[done:]]), 400_000)))
+        upto = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + 400_000)))
         while upto < len(order) and h[order[upto]] == h[order[upto - 1]]:
             upto += 1
         s = order[done:upto]
         done = upto
-        place = ranges(start[s], n_win[s])
-        window = ranges(base[s], n_win[s])
-        doc = np.repeat(ids[s], n_win[s])
-        keys = [view[place + 8 * j].byteswap() for j in range(words)]
-        keys[-1] = keys[-1] & keep
-        sa = np.lexsort((doc, *keys[::-1]))
-        shared = np.ones(len(sa), dtype=bool)  # common prefix with the suffix before, of at least `length`
-        shared[:1] = False
-        for k in keys:
-            k = k[sa]
-            shared[1:] &= k[1:] == k[:-1]
-        block = np.cumsum(~shared)
-        d = np.unique(doc[sa], return_inverse=True)[1]
-        prev, nxt = smaller_neighbours(d)
-        n = len(sa)
-        before = (prev >= 0) & (block[np.maximum(prev, 0)] == block)
-        after = (nxt < n) & (block[np.minimum(nxt, n - 1)] == block)
-        dup[window[sa[before | after]]] = True
+        doc = np.unique(ids[s], return_inverse=True)[1]
+        lpf = longest_previous_factors(body, ranges(start[s], n_win[s]), np.repeat(doc, n_win[s]), length)
+        dup[ranges(base[s], n_win[s])[lpf >= length]] = True
     return dup
 
 
