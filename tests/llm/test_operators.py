@@ -1,7 +1,10 @@
 """The corpus operators against brute force on small tables with nulls, empty texts, ties, repeats and odd columns."""
 
+import base64
 import hashlib
+import os
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -79,11 +82,19 @@ def test_substring_dedup(docs):
     assert remove_repeated_words(docs.limit(0)).count() == 0
 
 
-def test_longest_previous_factors():
-    for data in (b"", b"a", b"aaaa", b"abababcab", b"mississippi"):
-        want = [max([0] + [next(m for m in range(len(data) - i, -1, -1) if data[j : j + m] == data[i : i + m]) for j in range(i)]) for i in range(len(data))]
-        assert longest_previous_factors(data).tolist() == want
-    x = np.random.default_rng(1).integers(0, 9, 200)
+@pytest.mark.parametrize("length", [5, 8, 16, 21])
+def test_longest_previous_factors(length):
+    rng = np.random.default_rng(length)
+    for alphabet, n in ((1, 40), (2, 300), (3, 300)):
+        data = rng.integers(97, 97 + alphabet, n + length).astype(np.uint8)
+        text = data.tobytes()
+        place, doc = np.arange(n), rng.integers(0, 7, n)
+        lpf = longest_previous_factors(data, place, doc, length)
+        for i in range(n):
+            earlier = [next((m for m in range(length) if text[i + m] != text[j + m]), length) for j in range(n) if doc[j] < doc[i]]
+            assert lpf[i] <= max(earlier, default=0) and (lpf[i] == length) == (max(earlier, default=0) == length)
+            assert lpf[i] >= max(earlier, default=0) // 8 * 8
+    x = rng.integers(0, 9, 200)
     prev, nxt = smaller_neighbours(x)
     for i in range(200):
         assert prev[i] == max([j for j in range(i) if x[j] < x[i]], default=-1)
@@ -175,6 +186,28 @@ def test_vectors(spark):
     assert near_duplicates(df.limit(0)).count() == 0 and nearest(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    near = lambda x: [float(y) for y in x + 0.001]
+    # repeated rows: listed once
+    df = spark.createDataFrame(rows + [rows[20], rows[5]], "vec_id long, embedding array<float>")
+    got = nearest(df, k=20).collect()
+    s = v.astype(float) @ v.astype(float).T
+    for q in (0, 20, 40):
+        want = [i for i in np.lexsort((np.arange(60), -s[q])) if i != q][:20]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    # an id with two vectors: the better one counts
+    df = spark.createDataFrame(rows + [(3, [10 * x for x in rows[20][1]])], "vec_id long, embedding array<float>")
+    own = [r["vec_id"] for r in nearest(df, k=20).collect() if r["query_id"] == 20]
+    assert len(own) == len(set(own)) == 20 and 3 in own
+    # op1: each vector has its own links and component
+    df = spark.createDataFrame([(1, rows[0][1]), (1, rows[1][1]), (7, near(v[0])), (8, near(v[1])), (9, rows[2][1]), (9, rows[2][1])], "vec_id long, embedding array<float>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (7, 1, 1), (8, 1, 1), (9, 1, 9), (9, 1, 9)]
+
+
 def test_mixing(spark):
     rows = [(i, None if i % 11 == 0 else f"s{i % 4 if i % 3 else 0}", i * 37 % 91) for i in range(1500)] + [(5, "s9", 0), (None, "s0", 4)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
@@ -207,6 +240,52 @@ def test_mixing_lands_each_source(spark, n):
         assert abs((own["size"] * own["copies"]).sum() - own["target"].iloc[0]) <= 2
 
 
+def test_mixing_keeps_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    rows = [(None, "s", 3), (None, "s", 3), *[(big + k, "s", k % 7) for k in range(50)]]
+    out = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, source string, size long"), F.col("size")).collect()
+    assert sorted((r["doc_id"] or 0) for r in out) == sorted((i or 0) for i, _, _ in rows)
+    # more alike rows than a bucket holds
+    rows = [(None, "s", 3)] * 2500 + [(k, "s", 5) for k in range(1500)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), F.col("size"), share=0.5).toPandas()
+    assert len(out) == 4000 and abs((out["size"] * out["copies"]).sum() - out["target"].iloc[0]) <= 5
+
+
+def test_mixing_targets(spark):
+    """Targets by plain resharing, in turn over sources by code point."""
+    rng = np.random.default_rng(8)
+    names = ["b", "a", "ä", "Z", None, "z", "aa", "", "0"]
+    rows = [(k, names[int(x)], int(y)) for k, (x, y) in enumerate(zip(rng.integers(0, 9, 800) ** 2 // 9, rng.integers(0, 60, 800), strict=True))]
+    rows.append((900, "zero", 0))
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix_report(df, F.col("size")).toPandas()
+    size = Counter()
+    for _, s, n in rows:
+        size[s] += n
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + ([None] if None in size else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, full = {}, 1.5 * sum(size.values()), set()
+    while True:
+        open_ = [s for s in order if s not in full]
+        per = left / sum(weight[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if per * weight[s] >= 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            full.add(s)
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+    target |= {s: per * weight[s] for s in order if s not in full}
+    source = {k: s for k, s, _ in rows}
+    for r in out.itertuples():
+        assert r.source_size == size[source[r.doc_id]] and abs(r.target - target[source[r.doc_id]]) < 1e-6
+        assert r.taken % max(r.size, 1) == 0 and r.taken <= 2 * r.size
+    taken = Counter()
+    for r in out.itertuples():
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 3 for s in order)
+
+
 def test_chats(spark):
     hard = ["<|im_end|>", "\\<|", "<\\|", "\\\\", "<|im_sep|>x", None, "", "plain"]
     rows = [(k % 3, k, ("user", "assistant", "odd\nrole", None)[k // 2 % 4], t) for k, t in enumerate(hard * 3)] + [(None, 1, "user", "x"), (7, None, "user", "y"), (7, 1, "user", "y"), (7, 1, "user", "y")]
@@ -228,8 +307,10 @@ def test_pieces(spark):
     for t in texts:
         ids = m.encode(t)
         assert ids.tolist() == lib.encode(t) and m.decode(ids) == t
-        units = m.normal(t)
-        assert list(m.stream(iter(units))) == m.short(units)
+        for size in (1, 3, 1000):  # a text in parts, with nothing remembered
+            units = m.normal(t)
+            parts = [units[k : k + size] for k in range(0, len(units), size)]
+            assert list(m._ids(m.stream(parts))) == lib.encode(t)
     for size in (1, 3, len(texts)):
         for k in range(0, len(texts), size):
             part = [*texts[k : k + size], None, "x▁y  z"]
@@ -242,6 +323,75 @@ def test_pieces(spark):
     assert [r["n_ids"] for r in pieces.encode_report(df).orderBy("doc_id").collect()] == [2, 0, 0]
 
 
+def proto(key, value):
+    """A field of a model file."""
+    if isinstance(value, float):
+        return bytes([key << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return bytes([key << 3, value])
+    return bytes([key << 3 | 2, len(value)]) + value
+
+
+def test_unigram_pieces():
+    import sentencepiece
+
+    scores = {"▁": -2.1, "a": -3.3, "b": -3.7, "ab": -4.9, "ba": -5.3, "▁ab": -4.2, "aba": -7.9, "c": -6.1, "bc": -8.3, "abc": -10.7}
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(t, x, 1) for t, x in scores.items()]]
+    tail = proto(2, proto(3, 1)) + proto(3, proto(1, b"identity") + proto(3, 1) + proto(4, 0) + proto(5, 1))
+    data = b"".join(proto(1, proto(1, t.encode()) + proto(2, x) + proto(3, k)) for t, x, k in rows) + tail
+    lib, m = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Model(data)
+    rng = np.random.default_rng(5)
+    texts = ["日本", "日本 語x", "a 日", "", "  ab  y ", *["".join(rng.choice(list("ab c日"), int(rng.integers(1, 200)))) for _ in range(100)]]
+    assert [m.encode(t).tolist() for t in texts] == [lib.encode(t) for t in texts]
+    assert [x.tolist() for x in m.encode_all(pa.array(texts))] == [lib.encode(t) for t in texts]
+    m.most_open = 0
+    assert list(m._ids(m.stream((m.normal("ab c日" * 3000),)))) == lib.encode("ab c日" * 3000) and m.most_open < 20
+    odd = data[: -len(tail)] + proto(1, proto(1, b"zz") + proto(2, 0.0) + proto(3, 4)) + tail
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Model(odd)
+
+
+def test_training_order_holds_whole_texts(spark, tmp_path):
+    texts = [None, "", "one two", "x  y\n\n z's 12", *[t for _, t in corpus()[:12]]]
+    rows = [(None if k % 5 == 0 else -1 if k % 5 == 1 else k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = str(tmp_path / "s")
+    got = token_output.write_training_order(df, out=out, length=32, shard_slots=4, key=3).toPandas().sort_values("slot")
+    with open(token_output.DEFAULT_RANKS, "rb") as f:
+        enc = token_output._encoder(f.read())
+    n = len(got)
+    order = token_output.Permutation(n, 3)
+    tokens = token_output.read_slots(out, 0, n)
+    line = np.concatenate([tokens[int(order.slot(i)[0])] for i in range(n)]).tolist()
+    want = [x for _, t in rows for x in [*enc.encode_ordinary(t or ""), token_output.END_OF_TEXT]]
+    assert line[: len(want)] == want and set(line[len(want) :]) <= {token_output.END_OF_TEXT}
+    assert got["n_tokens"].sum() == len(want)
+    # the documents of each sequence, null ids as null
+    owner = [i for i, t in rows for _ in [*enc.encode_ordinary(t or ""), 0]]
+    start = [k for k, (_, t) in enumerate(rows) for _ in [*enc.encode_ordinary(t or ""), 0]]
+    for i in range(n):
+        part = list(dict.fromkeys(start[i * 32 : (i + 1) * 32]))
+        docs = got[got["slot"] == int(order.slot(i)[0])]["doc_ids"].iloc[0]
+        assert [None if x is None or x != x else int(x) for x in docs] == [rows[k][0] for k in part], (i, owner[:3])
+
+
+def test_training_order_of_another_corpus_and_vocabulary(spark, tmp_path):
+    out = str(tmp_path / "s")
+    run = lambda word, **kw: [r["sha256"] for r in token_output.write_training_order(spark.createDataFrame([(k, f"{word} {k}") for k in range(300)], "doc_id long, text string").coalesce(1), out=out, length=16, shard_slots=8, **kw).orderBy("slot").collect()]
+    first = run("hello world")
+    second = run("goodbye moon")
+    assert first != second
+    tokens = token_output.read_slots(out, 0, len(second))
+    assert [hashlib.sha256(x.tobytes()).hexdigest() for x in tokens] == second
+    assert run("hello world") == first
+    ranks = tmp_path / "bytes.tiktoken"
+    ranks.write_bytes(b"".join(base64.b64encode(bytes([x])) + b" %d\n" % x for x in range(256)))
+    run("hello", ranks_path=str(ranks))
+    tokens = token_output.read_slots(out, 0, 1000)
+    assert {int(x) for x in np.concatenate(tokens)} <= {*range(256), token_output.END_OF_TEXT}
+    assert len([f for f in os.listdir(out) if f.endswith(".bin")]) == -(-len(tokens) // 8)  # none of the longer run's
+
+
 def test_training_order(docs, tmp_path):
     for n in (1, 2, 7, 1000):
         p = token_output.Permutation(n, 9)
@@ -269,6 +419,38 @@ def test_quality(spark):
     assert quality.quality_report(odd).count() == 4 and quality.quality_report(odd.limit(0)).count() == 0
 
 
+def test_labellers_by_plain_em():
+    """Expectation and maximisation, row by row in plain Python."""
+    rng = np.random.default_rng(6)
+    truth = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, 4)) < np.array([0.9, 0.8, 0.7, 0.95]), truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random((400, 4)) < 0.3] = -1
+    pattern, count = np.unique(votes, axis=0, return_counts=True)
+    rates, prior, post = quality.fit_labellers(pattern, count.astype(float), rounds=40)
+    p = [0.2 if 0 in v else 0.95 for v in votes.tolist()]
+    for _ in range(40):
+        share = min(max(sum(p) / len(p), 1e-3), 1 - 1e-3)
+        rate = {}
+        for c in (0, 1):
+            for j in range(4):
+                w = [sum((x if c else 1 - x) for x, v in zip(p, votes, strict=True) if v[j] == k) + 0.5 for k in (0, 1)]
+                rate[c, j] = [x / sum(w) for x in w]
+        new = []
+        for v in votes:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for j in range(4):
+                    if v[j] >= 0:
+                        like[c] *= rate[c, j][v[j]]
+            new.append(like[1] / sum(like))
+        if max(abs(a - b) for a, b in zip(p, new, strict=True)) < 1e-9:
+            break
+        p = new
+    by = {tuple(v): x for v, x in zip(votes.tolist(), p, strict=True)}
+    assert all(abs(x - by[tuple(v)]) < 1e-6 for v, x in zip(pattern.tolist(), post, strict=True))
+    assert ((post > 0.5) == (np.array([truth[(votes == v).all(axis=1)].mean() for v in pattern]) > 0.5)).mean() > 0.7
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
