@@ -3,9 +3,8 @@
 Unrelated texts all lie at Jaccard distance 1 from each other, so pivots alone would make every document a boundary
 document of every region. Regions are therefore seeded exactly first: sets within the radius differ in at most D
 shingles, so of D + 1 + c classes of the shingle universe at least c + 1 hold the same shingles of both; documents that
-agree on a class meet. Documents linked by such meetings form a ball, and inside a ball the metric join runs: pivots
-are chosen, each document goes to the region of its nearest pivot, documents whose distances to two pivots differ by
-no more than twice the radius are replicated to both, regions join recursively, and every link is verified exactly.
+agree on a class meet. Documents linked by such meetings form a ball, and inside a ball the metric join runs (see
+metric_join): regions of pivots, boundary documents replicated, regions joined recursively, every link verified exactly.
 """
 
 from __future__ import annotations
@@ -102,6 +101,7 @@ def levels(threshold: float, most: int) -> list[tuple[int, int, int]]:
 
 
 def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, most: int):
+    """Signatures of the sets that a packet's documents lead, by buckets of their hashes."""
     table = levels(threshold, most)
     highs = np.array([x[1] for x in table], dtype=np.int64)
 
@@ -124,49 +124,43 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
         tag = (at % classes).astype(np.uint64) + np.uint64((level << 20) + (salt << 40))
         return mix(total[at] + mix(tag)), docs[at // classes], docs[sparse]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, head, data in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "head", "data")), strict=True):
-                p = Packet(head, data)
-                s, a, b = shingle_sets(p, n)
-                size = b - a
-                # one document for each set of this packet
-                f1, f2 = _fingerprints(s, a, b)
-                order = np.lexsort((p.ids, ~p.known, f2, f1))  # a row without id comes after those that have one
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (f1[order][1:] != f1[order][:-1]) | (f2[order][1:] != f2[order][:-1])
-                # null ids link too, through any row with the same set; they can't stand for a set themselves
-                lead = np.zeros(len(order), dtype=bool)
-                lead[order[new]] = True
-                lead &= (size > 0) & p.known
-                rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(len(s), dtype=bool)
-                c = np.concatenate([[0], np.cumsum(rare)])
-                some, some_at, some_n = s[rare], c[a], c[b] - c[a]
-                out = []
-                docs = np.flatnonzero(lead)
-                own = np.searchsorted(highs, size[docs])
-                lowest = np.searchsorted(highs, np.ceil(size[docs] * threshold - 1e-9))
-                for level in range(len(table)):
-                    # a document signs its own level, and those below in which a smaller partner may be
-                    todo = docs[(own >= level) & (lowest <= level)]
-                    if not table[level][2] or not len(todo):
-                        continue
-                    h, d, todo = sign(some, some_at, some_n, todo, level, 0, False)
-                    out.append((h, d))
-                    # partners of which both have too many thin classes meet under another division, over all shingles
-                    for salt in range(1, 6):
-                        if not len(todo):
-                            break
-                        h, d, todo = sign(s, a, size, todo, level, salt, salt == 5)
-                        out.append((h, d))
-                if not out:
+    def run(packets: pa.Table, leaders: pa.Table) -> pa.Table:
+        buckets, chunks, payloads = [], [], []
+        docs = np.sort(leaders.column("place").to_numpy()) if leaders.num_rows else np.zeros(0, np.int64)
+        for row in packets.to_pylist() if len(docs) else ():
+            p = Packet(row["head"], row["data"])
+            s, a, b = shingle_sets(p, n)
+            size = b - a
+            rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s if len(common) else np.ones(len(s), dtype=bool)
+            c = np.concatenate([[0], np.cumsum(rare)])
+            some, some_at, some_n = s[rare], c[a], c[b] - c[a]
+            out = []
+            own = np.searchsorted(highs, size[docs])
+            lowest = np.searchsorted(highs, np.ceil(size[docs] * threshold - 1e-9))
+            for level in range(len(table)):
+                # a document signs its own level, and those below in which a smaller partner may be
+                todo = docs[(own >= level) & (lowest <= level)]
+                if not table[level][2] or not len(todo):
                     continue
-                h, d = np.concatenate([x[0] for x in out]) >> np.uint64(16), np.concatenate([x[1] for x in out])
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], d[order]
-                cut = np.searchsorted(h, bounds(n_buckets))
-                rows = [(i, pack_arrays(h[cut[i] : cut[i + 1]], d[cut[i] : cut[i + 1]].astype("<u4"), p.ids)) for i in range(n_buckets) if cut[i] < cut[i + 1]]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([i for i, _ in rows], pa.int32()), "chunk_id": [chunk] * len(rows), "payload": [x for _, x in rows]})
+                h, d, todo = sign(some, some_at, some_n, todo, level, 0, False)
+                out.append((h, d))
+                # partners of which both have too many thin classes meet under another division, over all shingles
+                for salt in range(1, 6):
+                    if not len(todo):
+                        break
+                    h, d, todo = sign(s, a, size, todo, level, salt, salt == 5)
+                    out.append((h, d))
+            if not out:
+                continue
+            h, d = np.concatenate([x[0] for x in out]) >> np.uint64(16), np.concatenate([x[1] for x in out])
+            order = np.argsort(h, kind="stable")
+            h, d = h[order], d[order]
+            cut = np.searchsorted(h, bounds(n_buckets))
+            for i in np.flatnonzero(np.diff(cut)):
+                buckets.append(i)
+                chunks.append(row["chunk_id"])
+                payloads.append(pack_arrays(h[cut[i] : cut[i + 1]], d[cut[i] : cut[i + 1]].astype("<u4"), p.ids))
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk_id": pa.array(chunks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
     return run
 
@@ -194,106 +188,123 @@ def _meetings(table: pa.Table) -> pa.Table:
 
 
 class Sets:
-    """Sorted sets end to end, for exact distances from one set to many."""
+    """Sorted sets end to end, with the list of rows that hold each shingle, for exact distances from one row to all."""
 
     def __init__(self, values: np.ndarray, lens: np.ndarray):
-        self.values, self.lens = values, lens
+        self.lens = lens
         self.first = np.cumsum(lens) - lens
-
-    def distances(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        x = self.values[self.first[pivot] : self.first[pivot] + self.lens[pivot]]
-        at = ranges(self.first[others], self.lens[others])
-        v = self.values[at]
-        hit = x[np.minimum(np.searchsorted(x, v), len(x) - 1)] == v
-        both = np.bincount(np.repeat(np.arange(len(others)), self.lens[others]), weights=hit, minlength=len(others)).astype(np.int64)
-        union = self.lens[others] + self.lens[pivot] - both
-        return both, union
-
-
-def metric_join(sets: Sets, percent: int, n_pivots: int = 8, node: np.ndarray | None = None) -> list[tuple[int, int]]:
+        owner = np.repeat(np.arange(len(lens)), lens)
+        _, self.codes, self.freq = np.unique(values, return_inverse=True, return_counts=True)
+        self.holders = owner[np.argsort(self.codes, kind="stable")].astype(np.int32)
+        self.at = np.cumsum(self.freq) - self.freq
+
+    def shared(self, row: int) -> np.ndarray:
+        """Shingles that each row shares with one."""
+        c = self.codes[self.first[row] : self.first[row] + self.lens[row]]
+        return np.bincount(self.holders[ranges(self.at[c], self.freq[c])], minlength=len(self.lens))
+
+
+class Parts:
+    """Rows by connected part: the smaller of two parts takes the label of the larger."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label
+        self.members = {int(k): list(np.flatnonzero(label == k)) for k in np.unique(label)} if len(np.unique(label)) < len(label) else {k: [k] for k in range(len(label))}
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, row: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            a, b = int(self.label[row]), int(self.label[j])
+            if a != b:
+                if len(self.members[a]) < len(self.members[b]):
+                    a, b = b, a
+                moved = self.members.pop(b)
+                self.label[moved] = a
+                self.members[a] += moved
+                self.links.append((row, j))
+
+
+def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray | None = None, settled: dict | None = None) -> list[tuple[int, int]]:
     """Links (as rows) that connect exactly what all links at 100 * both >= percent * union connect. node: rows with an
-    equal value are one node, connected from the start.
-
-    Recursive: pivots, regions of the nearest pivot, documents within twice the radius of a boundary replicated. A
-    document linked to a pivot is joined to it at once; what is already connected needs no further comparison, so a
-    group of near copies costs one pass for each pivot and not all its pairs."""
+    equal value are one node, connected from the start. settled counts rows by what settles them.
+
+    Pivots are taken, and each row goes to the region of its nearest one, unless it is farther than `edge` from all: then
+    to the region of far rows, which gets pivots of its own. By the triangle inequality a row x can have links into the
+    region of pivot p only if d(x, p) is at most twice the radius more than its least distance and at most the radius
+    more than the farthest of p's own rows; and into the far region only if its least distance is above edge - radius.
+    Such boundary rows are replicated, and regions join recursively. Where regions don't divide the rows (their distances
+    are all alike), those that can be near share one of their rarest shingles, and these are compared. What is
+    connected already needs no further comparison, so a group of near copies costs a pass for each pivot."""
     n = len(sets.lens)
-    radius = 1 - percent / 100
-    parent = np.arange(n)
+    radius = 1 - percent / 100 + 1e-9
+    start = np.arange(n)
     if node is not None and n:
         _, at, which = np.unique(node, return_index=True, return_inverse=True)
-        parent = at[which]
-    links: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = int(parent[x])
-        return x
-
-    def join(a: int, b: int) -> None:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            links.append((a, b))
+        start = at[which]
+    parts = Parts(start.copy())
+    label = parts.label
+    settled = {} if settled is None else settled
 
     def against(i: int, others: np.ndarray) -> np.ndarray:
-        both, union = sets.distances(i, others)
-        for j in others[(100 * both >= percent * union) & (others != i)]:
-            join(i, int(j))
+        both = sets.shared(i)[others]
+        union = sets.lens[others] + sets.lens[i] - both
+        parts.join(i, others[(100 * both >= percent * union) & (others != i)])
         return 1 - both / union
 
     def among(rows: np.ndarray) -> None:
         lens = sets.lens[rows]
+        settled["shingles"] = settled.get("shingles", 0) + len(rows)
         owner = np.repeat(np.arange(len(rows)), lens)
-        _, which, freq = np.unique(sets.values[ranges(sets.first[rows], lens)], return_inverse=True, return_counts=True)
+        which = sets.codes[ranges(sets.first[rows], lens)]
+        freq = np.bincount(which, minlength=len(sets.freq))
         order = np.lexsort((which, freq[which], owner))
-        owner, which = owner[order], which[order]
+        which = which[order]
         place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
         # two sets within the radius meet in their first |x| - ceil(t |x|) + 1 shingles of any common order
         front = (place < (lens - -(-percent * lens // 100) + 1)[owner]) & (freq[which] > 1)
         owner, which = owner[front], which[front]
-        order = np.lexsort((owner, which))
-        owner, which = owner[order], which[order]
-        seen: set[tuple[int, int]] = set()
-        for own in np.split(owner, np.flatnonzero(np.diff(which)) + 1):
-            own = rows[own]
-            for k, i in enumerate(own[:-1]):
-                ri, size = root(int(i)), sets.lens[i]
-                other = [int(j) for j in own[k + 1 :] if 100 * sets.lens[j] >= percent * size and 100 * size >= percent * sets.lens[j] and (int(i), int(j)) not in seen and root(int(j)) != ri]
-                if other:
-                    seen.update((int(i), j) for j in other)
-                    against(int(i), np.array(other))
+        own = np.searchsorted(owner, np.arange(len(rows) + 1))
+        held = owner[np.argsort(which, kind="stable")]
+        count = np.bincount(which, minlength=len(sets.freq))
+        at = np.cumsum(count) - count
+        for k in range(len(rows)):
+            c = which[own[k] : own[k + 1]]
+            met = held[ranges(at[c], count[c])]
+            met = np.unique(met[met > k])
+            other, i = rows[met], rows[k]
+            other = other[(label[other] != label[i]) & (100 * sets.lens[other] >= percent * sets.lens[i]) & (100 * sets.lens[i] >= percent * sets.lens[other])]
+            if len(other):
+                against(int(i), other)
 
     todo = [np.arange(n)]
     while todo:
         rows = todo.pop()
-        roots = np.array([root(int(x)) for x in rows])
-        if len(rows) < 2 or (roots == roots[0]).all():
+        if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
             continue
         if len(rows) <= LEAF:
-            for k, i in enumerate(rows[:-1]):
-                other = rows[k + 1 :]
-                other = other[[root(int(j)) != root(int(i)) for j in other]]
-                other = other[(100 * sets.lens[other] >= percent * sets.lens[i]) & (100 * sets.lens[i] >= percent * sets.lens[other])]
-                if len(other):
-                    against(int(i), other)
+            among(rows)
             continue
-        # pivots: one of each of the largest unconnected parts first, then spread over the rows
-        picks = rows[np.unique(np.linspace(0, len(rows) - 1, n_pivots).astype(int))]
+        # pivots of different parts, spread over the rows
+        heads = rows[np.unique(label[rows], return_index=True)[1]]
+        picks = heads[np.unique(np.linspace(0, len(heads) - 1, n_pivots).astype(int))]
         dist = np.stack([against(int(p), rows) for p in picks])
-        near = dist.argmin(axis=0)
-        least = dist.min(axis=0)
-        regions = []
+        near, least = dist.argmin(axis=0), dist.min(axis=0)
+        # the edge with fewest rows on the boundary of the far region
+        edges = np.linspace(radius, 1 - 1e-6, 40)
+        ordered = np.sort(least)
+        edge = edges[np.argmin(np.searchsorted(ordered, edges, "right") - np.searchsorted(ordered, edges - radius, "right"))]
+        core = least <= edge
+        regions = [rows[least > edge - radius] if (~core).any() else rows[:0]]
         for k in range(len(picks)):
-            inside = dist[k] - least <= 2 * radius + 1e-9  # own region, and boundary documents of others
-            if (near == k).any():
-                regions.append(rows[inside])
-        if max(map(len, regions)) <= len(rows) // 2 and sum(map(len, regions)) <= 1.2 * len(rows):
+            mine = core & (near == k)
+            if mine.any():
+                regions.append(rows[core & (dist[k] - least <= 2 * radius) & (dist[k] <= least[mine].max() + radius)])
+        if max(map(len, regions)) <= 0.95 * len(rows) and sum(map(len, regions)) <= 1.5 * len(rows):
+            settled["regions"] = settled.get("regions", 0) + len(rows)
             todo += regions
-        else:  # its documents lie apart from all pivots: those that can be near share one of their rarest shingles
+        else:
             among(rows)
-    return links
+    return parts.links
 
 
 def _gather(n: int):
@@ -344,25 +355,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small = packets.select("chunk_id", "head", "data")
     kinds = "chunk_id long, ids array<long>, known array<boolean>, sizes array<long>, f1 array<long>, f2 array<long>, common array<long>, df array<long>"
     seen = stored(small.mapInArrow(_summary(words), kinds), "summary")
-    docs = seen.select(F.explode(F.arrays_zip("ids", "known", "sizes", "f1", "f2")).alias("x")).select(F.when(F.col("x.known"), F.col("x.ids")).alias("doc_id"), F.col("x.sizes").alias("n_shingles"), "x.f1", "x.f2")
+    docs = seen.select("chunk_id", F.posexplode(F.arrays_zip("ids", "known", "sizes", "f1", "f2")).alias("place", "x"))
+    docs = docs.select("chunk_id", "place", F.when(F.col("x.known"), F.col("x.ids")).alias("doc_id"), F.col("x.sizes").alias("n_shingles"), "x.f1", "x.f2")
     n_docs, most = docs.agg(F.count("*"), F.max("n_shingles")).first()
     total = packets.agg(F.sum("n_bytes")).first()[0] or 0
     # no more than 1 / COMMON times the mean set size, since each is in COMMON of all documents
     often = seen.select(F.explode(F.arrays_zip("common", "df")).alias("x")).groupBy("x.common").agg(F.sum("x.df").alias("n")).filter(F.col("n") >= max(3.0, COMMON * n_docs))
     common = np.sort(np.array([r[0] for r in often.select("common").collect()], dtype=np.int64).view(np.uint64))
     n = parts(spark, total)
-    signed = small.mapInArrow(_signatures(words, threshold, common, n, most or 0), "bucket int, chunk_id long, payload binary")
+    # of the rows with one set, however many, only the one with the least id signs and joins; the others link to it
+    known = docs.filter("doc_id is not null and n_shingles > 0")
+    leaders = known.groupBy("n_shingles", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk_id", "place")).alias("x"))
+    leaders = stored(leaders.select("n_shingles", "f1", "f2", "n", F.col("x.doc_id").alias("b"), "x.chunk_id", "x.place"), "leaders")
+    by_chunk = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(leaders.select("chunk_id", F.col("place").cast("long").alias("place")).repartition(n, "chunk_id").groupBy("chunk_id"))
+    signed = by_chunk.applyInArrow(_signatures(words, threshold, common, n, most or 0), "bucket int, chunk_id long, payload binary")
     met = stored(signed.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_meetings, "id long, star long, chunk_id long, place long"), "meetings")
     balls = connected_components(met.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    # the places where the documents of a ball are read, one for each set of an id in a packet
+    # the places where the sets of a ball are read
     where = met.select("id", "chunk_id", "place").distinct()
     asked = where.join(balls, "id").select(F.col("component_id").alias("ball"), "id", "chunk_id", "place")
     sets = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(stored(asked, "asked").repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_gather(words), "ball long, id long, size long, values binary")
     links = sets.repartition(n, "ball").groupBy("ball").applyInArrow(_join_ball(percent), "a long, b long")
-    # rows with one set are linked through the least id
-    known = docs.filter("doc_id is not null and n_shingles > 0")
-    first = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("b"))
-    alike = known.join(first, ["n_shingles", "f1", "f2"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    alike = known.join(leaders.filter("n > 1").select("n_shingles", "f1", "f2", "b"), ["n_shingles", "f1", "f2"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     comps = connected_components(stored(links.unionByName(alike), "links"))
     out = docs.join(comps, docs["doc_id"] == comps["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
