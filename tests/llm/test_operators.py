@@ -17,7 +17,7 @@ from casewright.llm.ann import nearest
 from casewright.llm.common import sql_words
 from casewright.llm.components import connected_components
 from casewright.llm.embedding_dedup import near_duplicates
-from casewright.llm.jaccard_join import jaccard_components
+from casewright.llm.jaccard_join import Sets, jaccard_components, metric_join
 from casewright.llm.substring_dedup import remove_repeated_words
 from casewright.llm.suffix_dedup import longest_previous_factors, remove_repeated_bytes, smaller_neighbours, without_repeats
 
@@ -118,6 +118,37 @@ def test_jaccard(docs, n, percent):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_metric_join():
+    """Regions, far rows and the rarest shingles against all pairs."""
+    rng = np.random.default_rng(9)
+    ways = Counter()
+    for groups, size, edits, percent in ((40, 12, 0.05, 85), (3, 200, 0.12, 80), (600, 1, 0.1, 85), (30, 10, 0.4, 80), (2, 20, 0.1, 60)):
+        rows = []
+        for g in range(groups):
+            base = rng.integers(0, 1 << 62, int(rng.integers(5, 80)))
+            for _ in range(size):
+                x = base.copy()
+                change = rng.random(len(x)) < edits * rng.random() * 2
+                x[change] = rng.integers(0, 1 << 62, int(change.sum()))
+                rows.append(np.unique(np.concatenate([x, [1, 2] if g % 2 else [3]])).astype(np.uint64))
+        lens = np.array([len(x) for x in rows])
+        sets = Sets(np.concatenate(rows), lens)
+        settled = {}
+        part = np.arange(len(rows))
+        links = metric_join(sets, percent, settled=settled)
+        ways.update(settled)
+        assert all(100 * len(np.intersect1d(rows[a], rows[b])) >= percent * len(np.union1d(rows[a], rows[b])) for a, b in links)
+        for a, b in links:
+            part[part == part[b]] = part[a]
+        want = np.arange(len(rows))
+        for i in range(len(rows)):
+            both = sets.shared(i)
+            for j in np.flatnonzero(100 * both >= percent * (lens + lens[i] - both)):
+                want[want == want[j]] = want[i]
+        assert len(np.unique(part)) == len(np.unique(want)) == len(np.unique(np.column_stack([part, want]), axis=0))
+    assert ways["regions"] > 500 and ways["shingles"] > 100
+
+
 def varied(text, at):
     w = text.split()
     w[at] = "changed"
