@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .hnsw import Graph
 
-#: Rows of a shard, so that a graph fits a task; and fewest shards, for parallel builds.
-SHARD_ROWS, MIN_SHARDS = 250_000, 6
-#: Queries that meet a graph in one task.
-BLOCK_ROWS = 50_000
+#: Bytes of a shard's vectors in double precision, so that a graph fits a task; and fewest shards, for parallel builds.
+SHARD_BYTES, MIN_SHARDS = 128 << 20, 6
+#: Bytes of the queries that meet a graph in one task.
+BLOCK_BYTES = 64 << 20
+#: Queries of each task that are answered by brute force as well.
+AUDIT = 64
 _PIECE = 8 << 20
 INDEX = "shard int, part int, seq int, kind string, data binary"
 
@@ -26,8 +28,9 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def n_shards(n: int) -> int:
-    return max(MIN_SHARDS, -(-n // SHARD_ROWS))
+def n_shards(n: int, width: int) -> int:
+    """Shards for n vectors of `width` components."""
+    return max(MIN_SHARDS, -(-n * width * 8 // SHARD_BYTES))
 
 
 def to_rows(shard: int, arrays: list[np.ndarray]) -> pa.Table:
@@ -58,11 +61,12 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def meet(index: DataFrame, queries: DataFrame, shards: int, n_queries: int, run, schema: str) -> DataFrame:
-    """Every query against every shard's graph. queries: id long, embedding. run(arrays, ids, vectors) -> pa.Table.
+def meet(index: DataFrame, queries: DataFrame, shards: int, n_bytes: int, run, schema: str) -> DataFrame:
+    """Every query against every shard's graph. queries: id long, embedding, n_bytes of them in double precision.
+    run(arrays, ids, vectors) -> pa.Table.
 
     Graphs go to each block of queries and queries to each shard; a task holds one graph and one block."""
-    blocks = max(2, -(-n_queries // BLOCK_ROWS))
+    blocks = max(2, -(-n_bytes // BLOCK_BYTES))
     n = shards * blocks
     key = F.col("shard") * blocks + F.col("block")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", key.cast("int"))
@@ -78,13 +82,13 @@ def meet(index: DataFrame, queries: DataFrame, shards: int, n_queries: int, run,
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(both, schema)
 
 
-def build_index(df: DataFrame, m: int = 12, beam: int = 48) -> tuple[DataFrame, int]:
+def build_index(df: DataFrame, m: int = 12, beam: int = 48) -> tuple[DataFrame, int, int]:
     """df: id long, embedding, copies array<long> (ids with exactly this vector, at most what a search returns).
 
     Inner-product search: vectors are lengthened by one component to the greatest norm, so that nearest by cosine is
-    largest by product; every row is indexed, none sampled. -> (stored index, number of shards)."""
-    n, top = df.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
-    shards, top = n_shards(n), math.sqrt(top or 0.0) or 1.0
+    largest by product; every row is indexed, none sampled. -> (stored index, number of shards, components of a vector)."""
+    n, wide, top = df.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
+    shards, top = n_shards(n, wide or 1), math.sqrt(top or 0.0) or 1.0
 
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -99,13 +103,16 @@ def build_index(df: DataFrame, m: int = 12, beam: int = 48) -> tuple[DataFrame,
 
     sharded = df.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     built = sharded.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(make, INDEX)
-    return stored(built, "index"), shards
+    return stored(built, "index"), shards, wide or 1
 
 
-def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", width: int = 160) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", width: int = 96, recall: float = 0.93) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k rows of df with the largest inner product, other
     than the query's own id, ties to the smaller id, score in double precision on the vectors as given.
 
+    Each task audits the recall of its shard on some queries (AUDIT or more) by brute force, and widens its beam by
+    half from `width`, up to the whole shard, until at least `recall` of their neighbours are found.
+
     queries: rows with the same columns, by default those of df whose id is divisible by 20. Vectors that are null,
     empty, all zero, or hold null or non-finite components, and rows with a null id, take no part. Vectors must have
     one length. Exact copies share one node, with the k + 1 smallest ids. An id is listed once for a query: rows that
@@ -118,7 +125,7 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
     few = Window.partitionBy("embedding").orderBy("id")
     kept = rows.withColumn("n", F.dense_rank().over(few)).filter(F.col("n") <= k + 1)
     nodes = kept.groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("copies")).select(F.element_at("copies", 1).alias("id"), "embedding", "copies")
-    index, shards = build_index(stored(nodes, "nodes"))
+    index, shards, wide = build_index(stored(nodes, "nodes"))
     asked = stored(asked, "queries")
     types = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -129,7 +136,16 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
         graph = Graph.from_arrays(rest)
         original = flat.reshape(len(own), -1)
         norm = np.sqrt((v * v).sum(axis=1))
-        place = graph.search(np.column_stack([v / norm[:, None], np.zeros(len(v))]), max(width, 2 * k))[0]
+        lifted = np.column_stack([v / norm[:, None], np.zeros(len(v))])
+        # some of the queries are answered by brute force too, and the beam grows by half until enough of that is found
+        some, beam, near = np.arange(0, len(ids), max(1, len(ids) // AUDIT)), max(width, 2 * k), min(k, len(own))
+        best = [np.argpartition(-(original @ v[q]), near - 1)[:near] for q in some]
+        while beam < len(own):
+            got = graph.search(lifted[some], beam)[0]
+            if sum(len(np.intersect1d(a, b)) for a, b in zip(best, got, strict=True)) >= recall * near * len(some):
+                break
+            beam += beam // 2
+        place = graph.search(lifted, beam)[0]
         first = np.cumsum(lens) - lens
         out_q, out_v, out_s = [], [], []
         for q in range(len(ids)):
@@ -148,8 +164,7 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col
             out_s.append(s[top])
         return pa.table([np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)], schema=types)
 
-    n_asked = asked.count()
-    found = meet(index, asked, shards, n_asked, run, "query_id long, vec_id long, score double")
+    found = meet(index, asked, shards, asked.count() * wide * 8, run, "query_id long, vec_id long, score double")
     found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one shuffle for both
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)

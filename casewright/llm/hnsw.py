@@ -29,30 +29,37 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
     above floor (then a wider beam could find more)."""
     q, n = len(queries), len(vectors)
     width = min(width, n)
-    place = np.full((q, width), -1, dtype=np.int64)
+    place = np.full((q, width), -1, dtype=np.int32)
     score = np.full((q, width), -np.inf, dtype=np.float32)
     done = np.zeros((q, width), dtype=bool)
-    seen = np.zeros((q, n), dtype=bool)
+    seen = np.zeros(q * n, dtype=np.int32)
     rows = np.arange(q)
+    few = max(1, width // 16)
 
     def offer(r: np.ndarray, cand: np.ndarray) -> None:
-        ok = cand >= 0
-        safe = np.where(ok, cand, 0)
-        # within one list a place may occur twice: keep the first
-        s = np.sort(safe + np.where(ok, 0, n + np.arange(cand.shape[1])), axis=1)
-        uniq = np.ones_like(ok)
-        uniq[:, 1:] = s[:, 1:] != s[:, :-1]
-        safe = np.where(s < n, s, 0)
-        ok = (s < n) & uniq & ~seen[r[:, None], safe]
-        rr, cc = np.nonzero(ok)
-        seen[r[rr], safe[rr, cc]] = True
-        val = np.full(ok.shape, -np.inf, dtype=np.float32)
-        val[rr, cc] = np.einsum("ij,ij->i", vectors[safe[rr, cc]], queries[r[rr]])
-        all_s = np.concatenate([score[r], val], axis=1)
-        all_p = np.concatenate([place[r], np.where(ok, safe, -1)], axis=1)
-        all_d = np.concatenate([done[r], np.zeros(ok.shape, dtype=bool)], axis=1)
-        top = np.argsort(-all_s, axis=1, kind="stable")[:, :width]
-        score[r], place[r], done[r] = (np.take_along_axis(x, top, 1) for x in (all_s, all_p, all_d))
+        cell = (r[:, None] * n + cand)[cand >= 0]
+        cell = cell[seen[cell] == 0]
+        serial = np.arange(1, len(cell) + 1, dtype=np.int32)
+        seen[cell] = serial
+        cell = cell[seen[cell] == serial]  # a place that two lists hold, once
+        own, p = np.divmod(cell, n)
+        val = np.einsum("ij,ij->i", vectors[p], queries[own])
+        good = val > score[own, -1]  # the others don't enter the beam
+        own, p, val = own[good], p[good], val[good]
+        if not len(own):
+            return
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        count = np.diff(np.append(first, len(own)))
+        u = own[first]
+        at = (np.repeat(np.arange(len(u)), count), np.arange(len(own)) - np.repeat(first, count))
+        new_s = np.full((len(u), int(count.max())), -np.inf, dtype=np.float32)
+        new_p = np.full(new_s.shape, -1, dtype=np.int32)
+        new_s[at], new_p[at] = val, p
+        all_s = np.concatenate([score[u], new_s], axis=1)
+        top = np.argsort(-all_s, axis=1)[:, :width]
+        score[u] = np.take_along_axis(all_s, top, 1)
+        place[u] = np.take_along_axis(np.concatenate([place[u], new_p], axis=1), top, 1)
+        done[u] = np.take_along_axis(np.concatenate([done[u], np.zeros(new_s.shape, dtype=bool)], axis=1), top, 1)
 
     offer(rows, entry)
     active = rows
@@ -62,9 +69,13 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         active, open_ = active[has], open_[has]
         if not len(active):
             break
-        pick = open_.argmax(axis=1)
-        done[active, pick] = True
-        offer(active, links[place[active, pick]])
+        # the best few of each query at once: fewer steps, and no fewer places seen
+        rank = np.cumsum(open_, axis=1, dtype=np.int16)
+        r, c = np.nonzero(open_ & (rank <= few))
+        done[active[r], c] = True
+        cand = np.full((len(active), few, links.shape[1]), -1, dtype=np.int64)
+        cand[r, rank[r, c] - 1] = links[place[active[r], c]]
+        offer(active, cand.reshape(len(active), -1))
     full = (score[:, -1] >= floor) if floor is not None and width < n else np.zeros(q, dtype=bool)
     return place, score, full
 
@@ -77,7 +88,7 @@ def select_diverse(vectors: np.ndarray, base: np.ndarray, cand: np.ndarray, m: i
     v = vectors[safe]
     own = np.einsum("bcd,bd->bc", v, base)
     own[cand < 0] = -np.inf
-    mutual = np.einsum("bcd,bed->bce", v, v)
+    mutual = v @ v.swapaxes(1, 2)
     chosen = np.zeros((b, c), dtype=bool)
     near = np.full((b, c), -np.inf, dtype=np.float32)  # greatest product with a chosen one
     count = np.zeros(b, dtype=np.int64)
@@ -87,7 +98,7 @@ def select_diverse(vectors: np.ndarray, base: np.ndarray, cand: np.ndarray, m: i
         count += take
         near = np.where(take[:, None], np.maximum(near, mutual[:, i]), near)
     rank = np.where(chosen, 0, 1) * (2 * c) + np.arange(c)[None, :] + np.where(cand < 0, 4 * c, 0)
-    top = np.argsort(rank, axis=1, kind="stable")[:, :m]
+    top = np.argsort(rank, axis=1)[:, :m]
     out = np.full((b, m), -1, dtype=np.int64)
     out[:, : top.shape[1]] = np.take_along_axis(cand, top, 1)
     return out
@@ -117,7 +128,7 @@ class Graph:
         """(rows, products, full) as beam_search, in blocks of queries that bound memory."""
         bottom = self.layers[0]
         local = self.vectors[bottom.nodes]
-        step = max(1, min(STEP, (64 << 20) // max(1, len(local))))
+        step = max(1, min(STEP, (64 << 20) // (4 * max(1, len(local)))))
         out = []
         for i in range(0, len(queries), step):
             q = np.ascontiguousarray(queries[i : i + step], dtype=np.float32)
@@ -178,7 +189,7 @@ def _build_layer(vectors, nodes, above, width, m, beam) -> Layer:
             mate = np.argpartition(-mutual, k - 1, axis=1)[:, :k]
             cand = np.concatenate([cand, new[mate]], axis=1)
             score = np.concatenate([score, np.take_along_axis(mutual, mate, 1)], axis=1)
-            top = np.argsort(-score, axis=1, kind="stable")[:, :beam]
+            top = np.argsort(-score, axis=1)[:, :beam]
             cand = np.take_along_axis(cand, top, 1)
         chosen = select_diverse(local, q, cand, m)
         links[new, : chosen.shape[1]] = chosen
@@ -207,7 +218,7 @@ def _link_back(local: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np
         s[:, 1:][s[:, 1:] == s[:, :-1]] = -1
         val = np.einsum("bcd,bd->bc", local[np.maximum(s, 0)], local[t])
         val[s < 0] = -np.inf
-        top = np.argsort(-val, axis=1, kind="stable")[:, : 3 * width]
+        top = np.argsort(-val, axis=1)[:, : 3 * width]
         s, val = np.take_along_axis(s, top, 1), np.take_along_axis(val, top, 1)
         fits = (s >= 0).sum(axis=1) <= width
         if fits.any():
