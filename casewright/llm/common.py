@@ -68,6 +68,11 @@ def discard(df: DataFrame) -> None:
         _delete(*entry)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop plans that nothing holds any more: Spark then deletes the shuffle files of finished jobs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch() -> None:
     """Deletes the scratch tables this process has made. Frames that read them can't be used afterwards."""
     while _made:

@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from .common import (
     block_hashes,
     byte_gram_hashes,
+    discard,
     gram_hashes,
     mix,
     pack_arrays,
     pack_sorted,
     parts,
     ranges,
+    release,
+    stored,
     unpack_arrays,
     unpack_sorted,
     words_of,
@@ -297,9 +300,13 @@ def earlier_spans(df: DataFrame, id_col: str, text_col: str, unit: str, length:
     n = parts(spark, total)
     small = packets.select("chunk_id", "head", "data")
     sent = small.mapInArrow(_send_anchors(unit, length, n), "bucket int, chunk_id long, hashes binary")
-    flags = sent.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_repeated, "chunk_id long, hashes binary")
+    # each step is a job of its own, so that its shuffle files can go before the next writes more
+    flags = stored(sent.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_repeated, "chunk_id long, hashes binary"), "flags")
+    release(spark)
     segments = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(flags.repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_send_segments(unit, length, n), _SEGMENTS)
-    runs = segments.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_solve(solver, unit, length), "chunk_id long, runs binary")
+    runs = stored(segments.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_solve(solver, unit, length), "chunk_id long, runs binary"), "runs")
+    discard(flags)
+    release(spark)
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
