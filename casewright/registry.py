@@ -8,6 +8,7 @@ from casewright.functions import export
 from casewright.operators import citations, enrichment, quality, search, validation
 from casewright.operators import jobs as jobs_ops
 from casewright.sources.cases import cases, edges, jobs, oracle, register
+from casewright.plans import validation as validation_plans
 from casewright.streaming import metrics
 
 QUERIES: dict = {}
@@ -102,3 +103,6 @@ _add("A25_judge_cases", lambda s, d: (register(s, d), s.table("lineitem").groupB
 _add("S7_F16_judges", lambda s, d: (register(s, d), s.table("supplier").filter(F.contains(F.lower("s_name"), F.lit("0000"))).select(F.col("s_suppkey").alias("judge"), F.col("s_name").alias("name")).orderBy("name"))[1], "SELECT s_suppkey AS judge, s_name AS name FROM supplier WHERE contains(lower(s_name), '0000')")
 _add("S8_citations_of", _on(edges, lambda e: e.filter("citing = 'case-5' or cited = 'case-5'")), "SELECT citing, cited FROM edges WHERE citing = 'case-5' OR cited = 'case-5'")
 _add("J14_resolved", lambda s, d: citations.extract(cases(s, d), "id", F.col("case_number")).join(cases(s, d).select(F.col("case_number").alias("raw"), F.col("id").alias("cited")), "raw", "left").select("citing", "raw", "cited"), "SELECT id AS citing, case_number AS raw, id AS cited FROM cases")
+
+for _module in (validation_plans,):
+    _module.register(_add)

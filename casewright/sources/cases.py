@@ -49,6 +49,56 @@ SELECT event_id AS job_id, event_type AS type, CASE WHEN event_type = 'error' TH
 """
 
 
+#: Cases with all fields, lists among them, and with the defects that rules look for.
+DOCKETS = """
+SELECT id, case_key,
+  CASE WHEN case_key % 23 = 0 THEN '' WHEN case_key % 29 = 0 THEN 'n/a' WHEN case_key % 31 = 0 THEN '77/1999' ELSE case_number END AS case_number,
+  CASE WHEN case_key % 37 = 0 THEN NULL WHEN case_key % 41 = 0 THEN upper(case_name) WHEN case_key % 43 = 0 THEN concat(case_name, repeat('x', 600))
+    WHEN case_key % 47 = 0 THEN 'R v Test' ELSE case_name END AS case_name,
+  CASE WHEN case_key % 53 = 0 THEN '' WHEN case_key % 11 = 0 THEN 'scotus' WHEN case_key % 13 = 0 THEN 'High Court'
+    WHEN case_key % 17 = 0 THEN 'Tax Court of Appeal' WHEN case_key % 19 = 0 THEN 'Military Court' ELSE court END AS court,
+  CASE WHEN case_key % 59 = 0 THEN 0 ELSE court_level END AS court_level,
+  CASE jurisdiction WHEN 'AMERICA' THEN 'United States' WHEN 'EUROPE' THEN 'United Kingdom' WHEN 'ASIA' THEN 'India' WHEN 'AFRICA' THEN 'Canada'
+    ELSE CASE WHEN case_key % 2 = 0 THEN '' ELSE 'Australia' END END AS jurisdiction,
+  CASE WHEN case_key % 61 = 0 THEN NULL WHEN case_key % 67 = 0 THEN cast('1750-05-04 00:00:00' AS timestamp) ELSE cast(decision_date AS timestamp) END AS decision_date,
+  CASE WHEN case_key % 3 = 0 THEN NULL WHEN case_key % 31 = 0 THEN cast('2002-01-01 00:00:00' AS timestamp) ELSE cast('1994-01-01 00:00:00' AS timestamp) END AS filing_date,
+  status, CASE WHEN case_key % 71 = 0 THEN NULL ELSE quality_score END AS quality_score,
+  CASE WHEN case_key % 73 = 0 THEN '' WHEN case_key % 79 = 0 THEN upper(summary) WHEN case_key % 83 = 0 THEN concat(summary, ' aaaaaaa')
+    WHEN case_key % 89 = 0 THEN '!!!! #### ++++ %% %% &&&& **** (((( )))) ---- ++++ ==== ////' WHEN case_key % 97 = 0 THEN 'too short'
+    WHEN case_key % 14 = 3 THEN concat(summary, ' The appeal was reversed; the dissent would have affirmed.') ELSE summary END AS summary,
+  CASE WHEN case_key % 15 = 4 THEN '' ELSE concat(summary, ' We follow 0', cast(case_key AS string), ' f.2d 0012 (1975), [2003] UKSC 0', cast(case_key % 100 AS string),
+    ', [2010] EWCA Civ ', cast(case_key AS string), ', ECLI:EU:C:2001:', cast(case_key AS string), ', [1999] XYZ 5 and 2010 SCC 007. ',
+    CASE case_key % 12 WHEN 0 THEN 'The charter was invoked.' WHEN 1 THEN 'The agency issued a permit.' WHEN 2 THEN 'The customs office objected.'
+      WHEN 3 THEN 'An alimony order stood.' WHEN 4 THEN 'The creditor proved in the insolvency.' WHEN 5 THEN 'Wages were unpaid at the workplace.'
+      WHEN 6 THEN 'A trademark was used.' WHEN 7 THEN 'The pollution went on.' WHEN 8 THEN 'The merger was opposed.' WHEN 9 THEN 'The nuisance stopped.'
+      WHEN 10 THEN 'A warranty was given.' ELSE 'The lease ran out.' END) END AS full_text,
+  {judges} AS judges, {parties} AS parties, {concepts} AS legal_concepts, {citations} AS citations,
+  CASE case_key % 17 WHEN 3 THEN '' WHEN 5 THEN 'ftp://example.org/a' ELSE concat('https://example.org/cases/', cast(case_key AS string), '.html') END AS url,
+  CASE WHEN case_key % 4 = 1 THEN concat('https://example.org/cases/', cast(case_key AS string), '.pdf') ELSE '' END AS pdf_url,
+  CASE case_key % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'unlisted' ELSE '' END AS source_database,
+  CASE WHEN case_key % 6 = 1 THEN 'trial' ELSE '' END AS court_type, CASE WHEN case_key % 8 = 1 THEN 'allowed' ELSE '' END AS outcome,
+  CASE WHEN case_key % 9 = 1 THEN 'Judge 1' ELSE '' END AS chief_judge
+FROM cases
+"""
+_LISTS = {
+    "judges": "CASE case_key % 4 WHEN 0 THEN '' WHEN 1 THEN concat('Judge ', cast(case_key % 11 AS string)) ELSE concat('Judge ', cast(case_key % 11 AS string), '; Judge ', cast(case_key % 13 AS string)) END",
+    "parties": "CASE case_key % 5 WHEN 0 THEN '' WHEN 1 THEN concat('Party ', cast(party_key AS string)) WHEN 2 THEN concat('Party ', cast(party_key AS string), ';  ') ELSE concat('Party ', cast(case_key % 50 AS string), '; Party ', cast(party_key AS string)) END",
+    "concepts": "CASE case_key % 6 WHEN 0 THEN '' WHEN 1 THEN 'Criminal Law' WHEN 2 THEN 'Negligence; Duty of Care' WHEN 3 THEN 'Criminal Procedure; Evidence; Burden of Proof' WHEN 4 THEN 'Contract Law' ELSE 'a; b; c; d; e; f; g; h; i; j; k; l' END",
+    "citations": "CASE case_key % 7 WHEN 0 THEN '' WHEN 1 THEN '2010 SCC 7' ELSE '[2003] UKSC 1; 2010 SCC 7; 1 U.S. 2 (1801)' END",
+}
+
+
+def dockets_sql(spark: bool) -> str:
+    """DOCKETS for Spark or for DuckDB, which split texts into lists by other names."""
+    split = "filter(split({}, '; '), x -> x <> '')" if spark else "list_filter(string_split({}, '; '), lambda x: x <> '')"
+    return DOCKETS.format(**{k: split.format(v) for k, v in _LISTS.items()})
+
+
+def dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    return spark.sql(dockets_sql(True))
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of the base tables and of what derives from them."""
     for name in BASE:
@@ -74,4 +124,4 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(body: str) -> str:
     """body with the derived tables in front, for an engine that has the base tables."""
-    return f"WITH cases AS ({CASES}), edges AS ({EDGES}), jobs AS ({JOBS}) {body}"
+    return f"WITH cases AS ({CASES}), edges AS ({EDGES}), jobs AS ({JOBS}), dockets AS ({dockets_sql(False)}) {body}"
