@@ -19,7 +19,7 @@ def test_same_rows(spark, name):
     want = con.sql(registry.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    rows = lambda p: sorted(map(tuple, p[cols].astype(str).replace({"nan": "None"}).to_numpy().tolist()))
+    rows = lambda p: sorted(map(tuple, p[cols].astype(str).replace({"nan": "None", "<NA>": "None", "NaT": "None"}).to_numpy().tolist()))
     assert rows(got) == rows(want)
 
 
