@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.functions import export
 from casewright.operators import citations, enrichment, quality, search, validation
 from casewright.operators import jobs as jobs_ops
 from casewright.sources.cases import cases, edges, jobs, oracle, register
 from casewright.plans import find as find_plans
 from casewright.plans import law as law_plans
+from casewright.plans import output as output_plans
 from casewright.plans import validation as validation_plans
 from casewright.streaming import metrics
 
@@ -66,7 +66,6 @@ _add("A16_hash_groups", _on(cases, lambda d: quality.hash_groups(d).withColumn("
 _add("V8_duplication", _on(cases, lambda d: quality.duplication(d).withColumn("seen", F.array_join("seen", ","))), f"SELECT id, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (other <> id), '') AS seen, round(1 - 0.2 * count(*) FILTER (other <> id), 9)::DOUBLE AS score FROM (SELECT *, lag(id) OVER (PARTITION BY kind, hash ORDER BY decision_date, id) AS other FROM ({_FIVE})) GROUP BY id")
 _add("V5_completeness", _on(cases, lambda d: d.select("id", quality.completeness(["case_name", "court", "summary", "status"]).alias("completeness"), F.round(quality.text_quality(F.col("summary"), 60, 70), 6).alias("text_quality"))), "SELECT id, 1.0::DOUBLE AS completeness, CASE WHEN length(summary) < 60 THEN 0.3::DOUBLE WHEN length(summary) > 70 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS text_quality FROM cases")
 _add("T3_normalise", _on(cases, lambda d: d.select("id", quality.normalised(F.col("case_name")).alias("text"))), "SELECT id, translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', '') AS text FROM cases")
-_add("K5_bibtex", _on(cases, lambda d: d.select("id", export.bibtex().alias("entry"))), "SELECT id, concat('@misc{', replace(case_number, ' ', '_'), ',', chr(10), '  title = {', case_name, '},', chr(10), '  year = {', year, '},', chr(10), '  howpublished = {', court, '}', chr(10), '}') AS entry FROM cases")
 _add("R8_R10_rates", _on(jobs, lambda j: metrics.rates(j)), "SELECT date_trunc('hour', created_at) AS window_start, type, count(*) AS n, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'failed') / count(*), 6) AS error_ratio, round(avg(duration), 6) AS mean_duration FROM jobs GROUP BY 1, 2")
 _add("A19_latency", _on(jobs, metrics.latency), "SELECT type, len(d)::INT AS n, d[1] AS least, d[-1] AS greatest, d[(len(d) * 50 // 100 + 1)::INT] AS p50, d[(len(d) * 95 // 100 + 1)::INT] AS p95, d[(len(d) * 99 // 100 + 1)::INT] AS p99 FROM (SELECT type, list(duration ORDER BY duration) AS d FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, job_id DESC) AS k FROM jobs) WHERE k <= 1000 GROUP BY 1)")
 _add("A20_success", _on(jobs, metrics.success), "SELECT type, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'completed') / count(*) * 100, 6) AS rate FROM jobs GROUP BY 1")
@@ -106,5 +105,5 @@ _add("S7_F16_judges", lambda s, d: (register(s, d), s.table("supplier").filter(F
 _add("S8_citations_of", _on(edges, lambda e: e.filter("citing = 'case-5' or cited = 'case-5'")), "SELECT citing, cited FROM edges WHERE citing = 'case-5' OR cited = 'case-5'")
 _add("J14_resolved", lambda s, d: citations.extract(cases(s, d), "id", F.col("case_number")).join(cases(s, d).select(F.col("case_number").alias("raw"), F.col("id").alias("cited")), "raw", "left").select("citing", "raw", "cited"), "SELECT id AS citing, case_number AS raw, id AS cited FROM cases")
 
-for _module in (find_plans, law_plans, validation_plans):
+for _module in (find_plans, law_plans, output_plans, validation_plans):
     _module.register(_add)
