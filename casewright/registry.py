@@ -10,6 +10,7 @@ from casewright.sources.cases import cases, edges, jobs, oracle, register
 from casewright.plans import find as find_plans
 from casewright.plans import law as law_plans
 from casewright.plans import output as output_plans
+from casewright.plans import streams as stream_plans
 from casewright.plans import validation as validation_plans
 from casewright.streaming import metrics
 
@@ -105,5 +106,5 @@ _add("S7_F16_judges", lambda s, d: (register(s, d), s.table("supplier").filter(F
 _add("S8_citations_of", _on(edges, lambda e: e.filter("citing = 'case-5' or cited = 'case-5'")), "SELECT citing, cited FROM edges WHERE citing = 'case-5' OR cited = 'case-5'")
 _add("J14_resolved", lambda s, d: citations.extract(cases(s, d), "id", F.col("case_number")).join(cases(s, d).select(F.col("case_number").alias("raw"), F.col("id").alias("cited")), "raw", "left").select("citing", "raw", "cited"), "SELECT id AS citing, case_number AS raw, id AS cited FROM cases")
 
-for _module in (find_plans, law_plans, output_plans, validation_plans):
+for _module in (find_plans, law_plans, output_plans, stream_plans, validation_plans):
     _module.register(_add)
