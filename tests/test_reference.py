@@ -7,7 +7,7 @@ import pytest
 
 from casewright import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CASEWRIGHT_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
