@@ -1,39 +1,15 @@
-"""Validation and quality of cases: text quality, completeness, duplicates, case types."""
+"""Duplicates of cases by hashes, and quality in numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Case types with the words that show them, first hit wins (fixed values).
-TYPES = {"criminal": ("prosecution", "conviction", "guilt"), "family": ("custody", "divorce", "child"), "tax": ("tax",), "constitutional": ("constitution", "judicial review"), "intellectual_property": ("patent", "copyright"), "contract": ("contract",), "tort": ("negligence", "duty of care")}
-
-
 def normalised(text: Column) -> Column:
     """Lower case, blanks collapsed, then punctuation deleted."""
     return F.translate(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), ".,;:()[]\"'", "")
 
 
-def case_type(text: Column) -> Column:
-    low, out = F.lower(text), None
-    for kind, keys in TYPES.items():
-        hit = F.rlike(low, F.lit("|".join(keys)))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("civil")
-
-
-def text_quality(text: Column, least: int, most: int) -> Column:
-    """0 to 1: short 0.3, long 0.8, less for shouting and for many special characters."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    special = F.length(F.regexp_replace(t, r"[A-Za-z0-9\s]", "")) / F.greatest(F.length(t), F.lit(1))
-    base = 1.0 - F.when((F.upper(t) == t) & (F.length(t) > 20), 0.1).otherwise(0.0) - F.when(special > 0.3, 0.2).otherwise(0.0)
-    return F.when(F.length(t) < least, 0.3).when(F.length(t) > most, 0.8).otherwise(F.greatest(base, F.lit(0.0)))
-
-
-def completeness(columns: list[str]) -> Column:
-    return sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1.0).otherwise(0.0) for c in columns), F.lit(0.0)) / len(columns)
-
-
 def hashed(df: DataFrame) -> DataFrame:
     parts = [normalised(F.col("case_name")), F.lower("court"), F.lower("jurisdiction")]
     return df.withColumn("hash", F.sha2(F.concat_ws("|", *parts), 256))

@@ -52,7 +52,7 @@ def matches(q: Query) -> Column:
     if q.kind == "regex":
         return F.rlike(F.col("case_name"), F.lit(q.text)) | F.rlike(F.col("summary"), F.lit(q.text))
     if q.kind == "fuzzy":
-        both = F.array_union(words(F.col("case_name")), words(F.col("summary")))
+        both = F.array_union(words(name), words(summary))
         near = lambda t: F.exists(both, lambda w: F.levenshtein(F.rtrim(w, F.lit(".,;:")), F.lit(t), 2) >= 0)
         return reduce(lambda a, b: a & b, [near(t) for t in text.split()])
     return reduce(lambda a, b: a | b, [name.contains(t) | summary.contains(t) for t in text.split()])

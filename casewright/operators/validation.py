@@ -1,37 +1,10 @@
-"""Validation of cases by structure and meaning, similarity of pairs, merges, and the roll-up of reports."""
+"""The roll-up of validation reports, merges by key, and pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quality import jaccard
-
-
-def _blank(name: str) -> Column:
-    return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == ""
-
-
-def _list(*conditions: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in conditions)))
-
-
-def structural(df: DataFrame) -> DataFrame:
-    """errors, warnings and score: required name, court and jurisdiction; long names and summaries. Any error: 0."""
-    errors = _list(*((_blank(c), f"{c} is required") for c in ("case_name", "court", "jurisdiction")))
-    warnings = _list((F.length("case_name") > 500, "case_name is long"), (F.length("summary") > 10000, "summary is long"))
-    out = df.withColumn("errors", errors).withColumn("warnings", warnings)
-    return out.withColumn("score", F.when(F.size("errors") > 0, 0.0).otherwise(1.0 - 0.05 * F.size("warnings")))
-
-
-def semantic(df: DataFrame, as_of: str) -> DataFrame:
-    """errors, warnings and score as of a date: decisions to come; decisions over 200 years old, levels beyond 1 to 3."""
-    day, now = F.to_date("decision_date"), F.to_date(F.lit(as_of))
-    errors = _list((day > now, "decision_date is in the future"))
-    warnings = _list((day < F.add_months(now, -2400), "decision_date is very old"), (~F.col("court_level").between(1, 3), "court_level is out of range"))
-    out = df.withColumn("errors", errors).withColumn("warnings", warnings)
-    return out.withColumn("score", F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size("errors") - 0.05 * F.size("warnings")))
-
 
 def roll_up(reports: DataFrame) -> DataFrame:
     """total, valid, invalid, mean score, and counts of errors and warnings."""
@@ -39,22 +12,6 @@ def roll_up(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), F.round(F.avg("score"), 9).alias("mean_score"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("n_errors"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("n_warnings"))
 
 
-def _words(c: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda t: t != ""))
-
-
-def neighbour_similarity(df: DataFrame) -> DataFrame:
-    """id, other, similarity of each case with the one before it of the same name: mean of the equality of number,
-    court and jurisdiction, the Jaccard index of words of name and summary, and closeness in days."""
-    w = Window.partitionBy("case_name").orderBy("decision_date", "case_key")
-    fields = F.struct("id", "case_number", "court", "jurisdiction", "decision_date", _words("case_name").alias("names"), _words("summary").alias("words"))
-    d = df.withColumn("me", fields).withColumn("ot", F.lag("me").over(w)).filter("ot is not null")
-    same = lambda f: F.when(F.col(f"me.{f}") == F.col(f"ot.{f}"), 1.0).otherwise(0.0)
-    days = F.greatest(F.lit(0.0), 1.0 - F.abs(F.datediff("me.decision_date", "ot.decision_date")) / 365)
-    total = same("case_number") + jaccard(F.col("me.names"), F.col("ot.names")) + same("court") + same("jurisdiction") + days + jaccard(F.col("me.words"), F.col("ot.words"))
-    return d.select("id", F.col("ot.id").alias("other"), F.round(total / 6, 9).alias("similarity"))
-
-
 def upsert(base: DataFrame, changes: DataFrame, key: str, stamp: str) -> DataFrame:
     """The last version of each key by stamp; at equal stamps the change wins. Nulls in stamp count as oldest."""
     both = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))

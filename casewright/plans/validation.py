@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import quality, scoring
+from casewright.operators import enrichment, quality, scoring, search, validation
 from casewright.sources.cases import dockets
 
 AS_OF = "2000-01-01"
@@ -76,6 +76,24 @@ def _pairs(d):
     return scoring.similar_pairs(d, keys, 0.6).select("left", "right", F.round("similarity", 9).alias("similarity"))
 
 
+def _reports(d):
+    """Semantic reports as the roll-up takes them."""
+    errors, warnings = scoring.semantic(AS_OF)
+    out = d.withColumns({"errors": errors, "warnings": warnings})
+    return out.withColumn("score", F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size("errors") - 0.05 * F.size("warnings")))
+
+
+_T = "concat_ws(' ', summary, full_text)"
+
+
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains(lower({_T}), '{w}')" for w in words) + ")"
+
+
+def _first(kinds, default: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {_any(w)} THEN '{k}'" for k, w in kinds) + f" ELSE {default} END"
+
+
 def register(add) -> None:
     def on(name, f, sql):
         add(name, lambda spark, sf_dir: f(dockets(spark, sf_dir)), sql)
@@ -105,3 +123,13 @@ def register(add) -> None:
        f"SELECT a.id AS \"left\", b.id AS \"right\", round({_similar_sql('a', 'b')}, 9) AS similarity FROM dockets a JOIN dockets b ON a.id < b.id AND ((a.case_number <> '' AND a.case_number = b.case_number) OR (coalesce(a.case_name, '') <> '' AND a.case_name = b.case_name AND year(a.decision_date) = year(b.decision_date))) WHERE {_similar_sql('a', 'b')} >= 0.6")
     on("V11_merge_map", lambda d: scoring.merge_map(quality.hash_groups(d).filter("kind = 'case_name'")),
        "SELECT id AS gone, best AS \"into\" FROM (SELECT id, first(id ORDER BY coalesce(quality_score, 0) DESC, id) OVER (PARTITION BY translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', '') ORDER BY coalesce(quality_score, 0) DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best FROM dockets WHERE coalesce(case_name, '') <> '') WHERE id <> best")
+    on("V1_structural", lambda d: d.select("id", *(c.alias(n) for n, c in zip(("errors", "warnings"), scoring.structural(), strict=True))).select("id", *_joined("errors", "warnings")), f"SELECT id, array_to_string({_S}, ',') AS errors, CASE WHEN strlen(summary) > 10000 THEN 'summary:TOO_LONG' ELSE '' END AS warnings FROM dockets")
+    on("V2_semantic", lambda d: _reports(d).select("id", F.round("score", 9).alias("score"), *_joined("errors", "warnings")), f"SELECT id, round(greatest(0.0, 1 - 0.2 * e - 0.05 * len(m)), 9)::DOUBLE AS score, CASE WHEN e = 1 THEN 'decision_date:INVALID_DATE' ELSE '' END AS errors, array_to_string(m, ',') AS warnings FROM ({_ALL})")
+    on("A13_roll_up", lambda d: validation.roll_up(_reports(d)), f"SELECT count(*) AS total, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, round(avg(greatest(0.0, 1 - 0.2 * e - 0.05 * len(m))), 9) AS mean_score, sum(e)::BIGINT AS n_errors, sum(len(m))::BIGINT AS n_warnings FROM ({_ALL})")
+    on("V5_completeness", lambda d: d.select("id", F.round(scoring.completeness(), 9).alias("completeness")), f"SELECT id, round({_COMPLETE}, 9) AS completeness FROM dockets")
+    on("F15_fuzzy", lambda d: search.filtered(d, search.Query("negligance aplication", "fuzzy")).select("id").unionByName(search.filtered(d, search.Query("juducial", "fuzzy")).select("id")),
+       "SELECT id FROM (SELECT id, list_transform(list_filter(string_split_regex(lower(concat_ws(' ', coalesce(case_name, ''), summary)), '\\s+'), lambda x: x <> ''), lambda x: rtrim(x, '.,;:')) AS w FROM dockets) , (SELECT unnest([['negligance', 'aplication'], ['juducial']]) AS terms) WHERE len(list_filter(terms, lambda t: len(list_filter(w, lambda x: levenshtein(x, t) <= 2)) > 0)) = len(terms)")
+    on("E2_procedural", lambda d: d.select("id", *enrichment.procedural(F.concat_ws(" ", "summary", "full_text"))),
+       f"SELECT id, {_any(enrichment.APPEAL)} AS is_appeal, {_first(enrichment.STAGES)} AS procedural_stage, {_first([(x, (x,)) for x in enrichment.DECISIONS])} AS decision, {_any(('unanimous',))} AS unanimous, {_any(('dissent',))} AS has_dissent, {_any(('concur',))} AS has_concurrence FROM dockets")
+    on("E6_document_type", lambda d: d.select("id", enrichment.document_type(F.concat_ws(" ", "summary", "full_text")).alias("kind")), f"SELECT id, {_first(enrichment.DOCUMENTS, repr('unknown'))} AS kind FROM dockets")
+    on("E8_O12_missing", lambda d: d.select("id", F.array_join(enrichment.missing_signs(F.concat_ws(" ", "summary", "full_text"), ["damages", "appeal", "warranty"]), ",").alias("missing")), "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT {_any((w,))} THEN 'missing_{w}' END" for w in ("damages", "appeal", "warranty")) + ") AS missing FROM dockets")

@@ -39,15 +39,11 @@ _add("A6_facets", _on(cases, lambda d: search.facets(d, _Q)), f"""SELECT facet,
 _add("S1_scan_page", _on(cases, lambda d: d.orderBy("id").offset(20).limit(30).select("id", "case_number", "status")), "SELECT id, case_number, status FROM cases ORDER BY id LIMIT 30 OFFSET 20")
 _add("S5_point_lookup", _on(cases, lambda d: d.filter(F.col("id") == "case-42").limit(1).select("id", "case_name", "court")), "SELECT id, case_name, court FROM cases WHERE id = 'case-42'")
 _add("F1_F8_filters", _on(cases, lambda d: search.filtered(d, search.Query(jurisdictions=("EUROPE", "ASIA"), statuses=("active",), start="1996-01-01", end="1998-12-31", min_quality=0.5)).select("id", "jurisdiction")), "SELECT id, jurisdiction FROM cases WHERE jurisdiction IN ('EUROPE','ASIA') AND status = 'active' AND decision_date >= '1996-01-01' AND decision_date <= '1998-12-31' AND quality_score >= 0.5")
-_add("F15_fuzzy", _on(cases, lambda d: search.filtered(d, search.Query("negligance", "fuzzy")).select("id")), "SELECT id FROM cases WHERE summary LIKE '%negligence%'")
 _add("F15_regex", _on(cases, lambda d: search.filtered(d, search.Query("tax|patent", "regex")).select("id")), "SELECT id FROM cases WHERE regexp_matches(summary, 'tax|patent') OR regexp_matches(case_name, 'tax|patent')")
 _add("A1_count", _on(cases, lambda d: d.filter("status = 'closed'").agg(F.count("*").alias("n"))), "SELECT count(*) AS n FROM cases WHERE status = 'closed'")
 _add("A8_jurisdiction_share", _on(cases, lambda d: (lambda g: g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("jurisdiction", "n", F.round(F.col("n") / F.col("t") * 100, 6).alias("percentage"), F.round("q", 9).alias("avg_quality")))(d.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.avg("quality_score").alias("q")))), "SELECT jurisdiction, count(*) AS n, round(count(*) / (SELECT count(*) FROM cases) * 100, 6) AS percentage, round(avg(quality_score), 9) AS avg_quality FROM cases GROUP BY 1")
-_add("X3_highlight", _on(cases, lambda d: d.select("id", search.snippet(F.col("summary"), ["contract"], 40).alias("snippet")).filter("snippet is not null")), """SELECT id, replace(replace(concat(CASE WHEN p > 51 THEN '...' ELSE '' END, substring(summary, greatest(p - 51, 0) + 1, least(p - 1 + 40, length(summary)) - greatest(p - 51, 0)), CASE WHEN p - 1 + 40 < length(summary) THEN '...' ELSE '' END), 'contract', '<em>contract</em>'), 'Contract', '<em>Contract</em>') AS snippet
- FROM (SELECT id, summary, strpos(lower(summary), 'contract') AS p FROM cases) WHERE p > 0""")
 _add("X5_suggest", _on(cases, lambda d: search.suggest(d, "court", 10).select("kind", "value", "n", F.round("score", 9).alias("score"))), """SELECT 'court' AS kind, court AS value, count(*) AS n, round(CASE WHEN lower(court) LIKE 'court%' THEN 1.0 / (length(court) - 5 + 1) ELSE 0.5 / length(court) END, 9)::DOUBLE AS score FROM cases WHERE lower(court) LIKE '%court%' GROUP BY court""")
 _add("X4_spelling", _on(cases, lambda d: search.spelling(d, "jurisdiction", "EUROBE")), "SELECT lower(jurisdiction) AS word, levenshtein(lower(jurisdiction), 'eurobe')::INT AS distance FROM cases WHERE levenshtein(lower(jurisdiction), 'eurobe') <= 2 GROUP BY 1, 2")
-_add("C1_extract", _on(cases, lambda d: citations.extract(d, "id", F.concat_ws(" ", "summary", "case_number"))), """SELECT id AS citing, case_number AS raw, CASE case_key % 5 WHEN 0 THEN 'uk' WHEN 1 THEN 'australian' WHEN 2 THEN 'irish' WHEN 3 THEN 'canadian' ELSE 'bluebook' END AS format FROM cases""")
 _add("C3_components", _on(cases, lambda d: d.select("id", citations.components(F.col("case_number"), F.when(F.col("case_key") % 5 == 4, "bluebook").otherwise("neutral")).alias("c")).select("id", "c.year", "c.court", "c.number", "c.volume", "c.page")), "SELECT id, year::VARCHAR AS year, CASE case_key % 5 WHEN 0 THEN 'UKSC' WHEN 1 THEN 'HCA' WHEN 2 THEN 'IESC' WHEN 3 THEN 'SCC' END AS court, CASE WHEN case_key % 5 <> 4 THEN case_key::VARCHAR END AS number, CASE WHEN case_key % 5 = 4 THEN case_key::VARCHAR END AS volume, CASE WHEN case_key % 5 = 4 THEN party_key::VARCHAR END AS page FROM cases")
 _add("J2_A11_degrees", lambda s, d: citations.degrees(cases(s, d), s.table("edges")), "SELECT id, coalesce(i, 0) AS inbound, coalesce(o, 0) AS outbound FROM cases LEFT JOIN (SELECT cited, count(*) AS i FROM edges GROUP BY 1) ON id = cited LEFT JOIN (SELECT citing, count(*) AS o FROM edges GROUP BY 1) ON id = citing")
 _add("G3_most_cited", _on(edges, lambda e: e.groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(20)), "SELECT cited AS id, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, id LIMIT 20")
@@ -55,7 +51,8 @@ _add("G6_neighbourhood", _on(edges, lambda e: citations.neighbourhood(e, "case-1
 _round = "r{n} AS (SELECT id, 0.15::DOUBLE + 0.85::DOUBLE * (coalesce(units, 0)::DOUBLE / 1e12::DOUBLE) AS score FROM cases LEFT JOIN (SELECT cited, sum(floor(score * share * 1e12::DOUBLE + 0.5::DOUBLE)::BIGINT) AS units FROM pairs JOIN r{p} ON citing = id GROUP BY 1) ON id = cited)"
 _add("G2_influence", lambda s, d: citations.influence(cases(s, d), s.table("edges")), None)
 ORACLE_SQL["G2_influence"] = oracle("SELECT 1").removesuffix("SELECT 1") + ", deg AS (SELECT citing AS c, count(*) AS degree FROM edges GROUP BY 1), pairs AS (SELECT citing, cited, count(*)::DOUBLE / max(degree) AS share FROM edges JOIN deg ON c = citing GROUP BY 1, 2), r0 AS (SELECT id, 1.0::DOUBLE AS score FROM cases), " + ", ".join(_round.format(n=k + 1, p=k) for k in range(10)) + " SELECT id, score FROM r10"
-_add("E1_case_type", _on(cases, lambda d: d.groupBy(quality.case_type(F.col("summary")).alias("case_type")).agg(F.count("*").alias("n"))), "SELECT CASE WHEN regexp_matches(lower(summary), 'prosecution|conviction|guilt') THEN 'criminal' WHEN regexp_matches(lower(summary), 'custody|divorce|child') THEN 'family' WHEN lower(summary) LIKE '%tax%' THEN 'tax' WHEN regexp_matches(lower(summary), 'constitution|judicial review') THEN 'constitutional' WHEN regexp_matches(lower(summary), 'patent|copyright') THEN 'intellectual_property' WHEN lower(summary) LIKE '%contract%' THEN 'contract' WHEN regexp_matches(lower(summary), 'negligence|duty of care') THEN 'tort' ELSE 'civil' END AS case_type, count(*) AS n FROM cases GROUP BY 1")
+_add("A12_network_stats", lambda s, d: jobs_ops.network_stats(citations.degrees(cases(s, d), s.table("edges")), citations.influence(cases(s, d), s.table("edges"))))
+ORACLE_SQL["A12_network_stats"] = ORACLE_SQL["G2_influence"].removesuffix("SELECT id, score FROM r10") + "SELECT (SELECT count(*) FROM cases) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM cases), 9) AS mean_in, round((SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM cases), 9) AS mean_out, (SELECT id FROM r10 ORDER BY round(score, 9) DESC, id LIMIT 1) AS most_influential"
 _add("A14_quality_metrics", _on(cases, quality.quality_metrics), "SELECT count(*) AS total, count(*) FILTER (quality_score >= 0.8) AS high, count(*) FILTER (quality_score >= 0.6 AND quality_score < 0.8) AS medium, count(*) FILTER (quality_score < 0.6) AS low, round(avg(quality_score), 9) AS average FROM cases")
 _H = "sha256(concat_ws('|', translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', ''), lower(court), lower(jurisdiction)))"
 _add("A16_duplicate_groups", _on(cases, quality.duplicate_groups), f"SELECT {_H} AS hash, count(*) AS n, first(id ORDER BY quality_score DESC, id) AS best FROM cases GROUP BY 1 HAVING count(*) > 1")
@@ -65,7 +62,6 @@ _FIVE = " UNION ALL ".join(f"SELECT id, decision_date, quality_score, '{k}' AS k
     ("content_fingerprint", "substring(summary, 1, 500)", "strlen(summary) > 100"), ("structural", "concat(jurisdiction, '|', court, '|', case_name, '|', court_level)", "true")))
 _add("A16_hash_groups", _on(cases, lambda d: quality.hash_groups(d).withColumn("ids", F.array_join("ids", ","))), f"SELECT kind, hash, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids, first(id ORDER BY quality_score DESC, id) AS best FROM ({_FIVE}) GROUP BY 1, 2 HAVING count(*) > 1")
 _add("V8_duplication", _on(cases, lambda d: quality.duplication(d).withColumn("seen", F.array_join("seen", ","))), f"SELECT id, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (other <> id), '') AS seen, round(1 - 0.2 * count(*) FILTER (other <> id), 9)::DOUBLE AS score FROM (SELECT *, lag(id) OVER (PARTITION BY kind, hash ORDER BY decision_date, id) AS other FROM ({_FIVE})) GROUP BY id")
-_add("V5_completeness", _on(cases, lambda d: d.select("id", quality.completeness(["case_name", "court", "summary", "status"]).alias("completeness"), F.round(quality.text_quality(F.col("summary"), 60, 70), 6).alias("text_quality"))), "SELECT id, 1.0::DOUBLE AS completeness, CASE WHEN length(summary) < 60 THEN 0.3::DOUBLE WHEN length(summary) > 70 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS text_quality FROM cases")
 _add("T3_normalise", _on(cases, lambda d: d.select("id", quality.normalised(F.col("case_name")).alias("text"))), "SELECT id, translate(trim(regexp_replace(lower(case_name), '\\s+', ' ', 'g')), '.,;:()[]\"''', '') AS text FROM cases")
 _add("R8_R10_rates", _on(jobs, lambda j: metrics.rates(j)), "SELECT date_trunc('hour', created_at) AS window_start, type, count(*) AS n, count(*) FILTER (status = 'failed') AS failed, round(count(*) FILTER (status = 'failed') / count(*), 6) AS error_ratio, round(avg(duration), 6) AS mean_duration FROM jobs GROUP BY 1, 2")
 _add("A19_latency", _on(jobs, metrics.latency), "SELECT type, len(d)::INT AS n, d[1] AS least, d[-1] AS greatest, d[(len(d) * 50 // 100 + 1)::INT] AS p50, d[(len(d) * 95 // 100 + 1)::INT] AS p95, d[(len(d) * 99 // 100 + 1)::INT] AS p99 FROM (SELECT type, list(duration ORDER BY duration) AS d FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, job_id DESC) AS k FROM jobs) WHERE k <= 1000 GROUP BY 1)")
@@ -73,25 +69,11 @@ _add("A20_success", _on(jobs, metrics.success), "SELECT type, count(*) FILTER (s
 _add("A24_buckets", _on(jobs, metrics.buckets), "SELECT type, le, count(*) FILTER (duration <= le) AS n FROM jobs, (SELECT unnest([1.0::DOUBLE, 5.0, 10.0, 50.0]) AS le) GROUP BY 1, 2")
 
 _HAS = lambda c, *words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
-_add("E2_procedural", _on(cases, lambda d: d.select("id", *enrichment.procedural(F.col("summary")))), f"""SELECT id, {_HAS('summary', 'appeal', 'appellant', 'appellee', 'petition for review')} AS is_appeal,
- CASE WHEN {_HAS('summary', 'motion to dismiss', 'dismissal')} THEN 'motion_to_dismiss' WHEN {_HAS('summary', 'summary judgment')} THEN 'summary_judgment' WHEN {_HAS('summary', 'trial')} THEN 'trial' WHEN {_HAS('summary', 'sentencing')} THEN 'sentencing' WHEN {_HAS('summary', 'appeal')} THEN 'appeal' END AS procedural_stage,
- CASE WHEN {_HAS('summary', 'affirmed')} THEN 'affirmed' WHEN {_HAS('summary', 'reversed')} THEN 'reversed' WHEN {_HAS('summary', 'remanded')} THEN 'remanded' WHEN {_HAS('summary', 'dismissed')} THEN 'dismissed' WHEN {_HAS('summary', 'granted')} THEN 'granted' WHEN {_HAS('summary', 'denied')} THEN 'denied' END AS decision,
- {_HAS('summary', 'unanimous')} AS unanimous, {_HAS('summary', 'dissent')} AS has_dissent, {_HAS('summary', 'concur')} AS has_concurrence FROM cases""")
 _add("E3_court_type", _on(cases, lambda d: d.groupBy("court", enrichment.court_type(F.col("court")).alias("court_type")).agg(F.count("*").alias("n"))), f"SELECT court, CASE WHEN {_HAS('court', 'supreme', 'final')} THEN 'supreme' WHEN {_HAS('court', 'appeal')} THEN 'appellate' ELSE 'trial' END AS court_type, count(*) AS n FROM cases GROUP BY 1, 2")
-_add("E6_document_type", _on(cases, lambda d: d.select("id", enrichment.document_type(F.col("summary")).alias("kind"))), f"SELECT id, CASE WHEN {_HAS('summary', 'contract')} THEN 'contract' WHEN {_HAS('summary', 'court decision', 'judgment')} THEN 'court_decision' WHEN {_HAS('summary', 'statute', 'law')} THEN 'statute' ELSE 'unknown' END AS kind FROM cases")
-_add("E8_missing", _on(cases, lambda d: d.select("id", F.array_join(enrichment.missing_signs(F.col("summary"), ["damages", "appeal"]), ",").alias("missing"))), f"SELECT id, concat_ws(',', CASE WHEN NOT {_HAS('summary', 'damages')} THEN 'missing_damages' END, CASE WHEN NOT {_HAS('summary', 'appeal')} THEN 'missing_appeal' END) AS missing FROM cases")
 _add("X7_synonyms", _on(cases, lambda d: d.groupBy(F.col("status").alias("word")).agg(F.count("*").alias("n")).select("word", F.array_join(enrichment.expanded(F.concat(F.lit("Contract "), "word", F.lit(" appeal"))), ",").alias("words"))), "SELECT status AS word, concat('contract,agreement,covenant,accord,', status, ',appeal,review,reconsideration') AS words FROM cases GROUP BY 1")
 _CONCEPTS = [("Reasonable Doubt", "criminal", ["reasonable doubt", "beyond reasonable doubt", "burden of proof", "standard of proof"], 10), ("Offer and Acceptance", "contract", ["offer", "acceptance", "agreement", "meeting of minds", "consensus ad idem"], 10)]
 _add("N1_concepts", _on(cases, lambda d: enrichment.concept_scores(d.select("id", "summary"), F.col("summary"), _CONCEPTS).select("id", "concept", "area", F.round("confidence", 9).alias("confidence"))), f"""SELECT * FROM (SELECT id, 'Reasonable Doubt' AS concept, 'criminal' AS area, round(0.9 * (1.5 * 5) / 11 + 0.1, 9)::DOUBLE AS confidence FROM cases WHERE {_HAS('summary', 'beyond reasonable doubt')}
  UNION ALL SELECT id, 'Offer and Acceptance', 'contract', round(0.9 * 3.0 / 9 + 0.1, 9)::DOUBLE FROM cases WHERE {_HAS('summary', 'offer and acceptance')})""")
-_add("V1_structural", _on(cases, lambda d: validation.structural(d).select("id", F.size("errors").alias("n_errors"), "score")), "SELECT id, 0::INT AS n_errors, 1.0::DOUBLE AS score FROM cases")
-_SEM = "SELECT id, CASE WHEN decision_date >= '2000-01-02' THEN 1 ELSE 0 END AS e, CASE WHEN court_level > 3 THEN 1 ELSE 0 END AS w FROM cases"
-_add("V2_semantic", _on(cases, lambda d: validation.semantic(d, "2000-01-01").select("id", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), F.round("score", 9).alias("score"))), f"SELECT id, e AS n_errors, w AS n_warnings, round(1 - 0.2 * e - 0.05 * w, 9)::DOUBLE AS score FROM ({_SEM})")
-_add("A13_roll_up", _on(cases, lambda d: validation.roll_up(validation.semantic(d, "2000-01-01"))), f"SELECT count(*) AS total, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, round(avg(1::DOUBLE - 0.2::DOUBLE * e - 0.05::DOUBLE * w), 9) AS mean_score, sum(e)::BIGINT AS n_errors, sum(w)::BIGINT AS n_warnings FROM ({_SEM})")
-_J = "(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))))"
-_W = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> ''))"
-_add("V11_similarity", _on(cases, validation.neighbour_similarity), f"""SELECT id, other, round(((case_number = n2)::INT + 1.0::DOUBLE + (court = c2)::INT + (jurisdiction = j2)::INT + greatest(0, 1 - abs(date_diff('day', d2::DATE, decision_date::DATE))::DOUBLE / 365) + {_J.format(a="s1", b="s2")}) / 6, 9) AS similarity FROM (
- SELECT *, {_W.format(c='summary')} AS s1, {_W.format(c='prior')} AS s2 FROM (SELECT *, lag(id) OVER w AS other, lag(case_number) OVER w AS n2, lag(court) OVER w AS c2, lag(jurisdiction) OVER w AS j2, lag(decision_date) OVER w AS d2, lag(summary) OVER w AS prior FROM cases WINDOW w AS (PARTITION BY case_name ORDER BY decision_date, case_key))) WHERE other IS NOT NULL""")
 _add("K11_upsert", _on(cases, lambda d: (lambda b: validation.upsert(b, b.filter("status = 'pending'").withColumn("status", F.lit("closed")), "id", "decision_date"))(d.select("id", "status", "decision_date"))), "SELECT id, CASE status WHEN 'pending' THEN 'closed' ELSE status END AS status, decision_date FROM cases")
 _add("K12_delete", _on(cases, lambda d: validation.deleted(d.select("id", "court"), d.filter("court_level = 2"), "id")), "SELECT id, court FROM cases WHERE court_level <> 2")
 _add("O3b_keyset_page", _on(cases, lambda d: validation.page_after(d.select("id", "status"), "id", "eyJpZCI6ICJjYXNlLTMwMCJ9", 25)), "SELECT id, status, (SELECT count(*) FROM cases WHERE id > 'case-300') > 25 AS has_more FROM cases WHERE id > 'case-300' ORDER BY id LIMIT 25")
@@ -99,12 +81,10 @@ _add("O5_dequeue", _on(jobs, lambda j: jobs_ops.dequeue_order(j, 40).select("job
 _add("A22_counters", _on(jobs, jobs_ops.counters), "SELECT CASE grouping_id(type, priority) WHEN 1 THEN 'type' WHEN 2 THEN 'priority' ELSE 'all' END AS dimension, coalesce(type, priority::VARCHAR, '') AS value, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, round(sum(duration), 4) AS total_duration FROM jobs GROUP BY GROUPING SETS ((type), (priority), ())")
 _add("A17_dead_letters", _on(jobs, jobs_ops.dead_letters), "SELECT type, count(*) AS n, min(created_at) AS oldest, max(created_at) AS newest FROM jobs WHERE status = 'failed' GROUP BY 1")
 _add("J15_routing", lambda s, d: jobs_ops.routed(jobs(s, d).select("job_id", "type"), s.createDataFrame([("audit", ""), ("alerts", "error")], "subscriber string, type string")), "SELECT job_id, type, 'audit' AS subscriber FROM jobs UNION ALL SELECT job_id, type, 'alerts' FROM jobs WHERE type = 'error'")
-_add("A12_network_stats", lambda s, d: jobs_ops.network_stats(citations.degrees(cases(s, d), s.table("edges")), citations.influence(cases(s, d), s.table("edges"))).drop("most_influential"), "SELECT (SELECT count(*) FROM cases) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM cases), 9) AS mean_in, round((SELECT count(*) FROM edges)::DOUBLE / (SELECT count(*) FROM cases), 9) AS mean_out")
 _add("A7_storage_stats", lambda s, d: cases(s, d).agg(F.count("*").alias("n")).withColumn("kind", F.lit("cases")).unionByName(s.table("edges").agg(F.count("*").alias("n")).withColumn("kind", F.lit("citations"))).unionByName(s.table("supplier").agg(F.count("*").alias("n")).withColumn("kind", F.lit("judges"))), "SELECT 'cases' AS kind, count(*) AS n FROM cases UNION ALL SELECT 'citations', count(*) FROM edges UNION ALL SELECT 'judges', count(*) FROM supplier")
 _add("A25_judge_cases", lambda s, d: (register(s, d), s.table("lineitem").groupBy(F.col("l_suppkey").alias("judge")).agg(F.count_distinct("l_orderkey").alias("n")))[1], "SELECT l_suppkey AS judge, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
 _add("S7_F16_judges", lambda s, d: (register(s, d), s.table("supplier").filter(F.contains(F.lower("s_name"), F.lit("0000"))).select(F.col("s_suppkey").alias("judge"), F.col("s_name").alias("name")).orderBy("name"))[1], "SELECT s_suppkey AS judge, s_name AS name FROM supplier WHERE contains(lower(s_name), '0000')")
 _add("S8_citations_of", _on(edges, lambda e: e.filter("citing = 'case-5' or cited = 'case-5'")), "SELECT citing, cited FROM edges WHERE citing = 'case-5' OR cited = 'case-5'")
-_add("J14_resolved", lambda s, d: citations.extract(cases(s, d), "id", F.col("case_number")).join(cases(s, d).select(F.col("case_number").alias("raw"), F.col("id").alias("cited")), "raw", "left").select("citing", "raw", "cited"), "SELECT id AS citing, case_number AS raw, id AS cited FROM cases")
 
 for _module in (find_plans, law_plans, output_plans, stream_plans, validation_plans):
     _module.register(_add)
