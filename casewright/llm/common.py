@@ -49,6 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    release(spark)  # shuffle files of the jobs before, which this one may need the room of
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, pack_arrays, parts, ranges, stored, unpack_arrays, words_of
+from .common import discard, gram_hashes, mix, pack_arrays, pack_sorted, parts, ranges, release, stored, unpack_arrays, unpack_sorted, words_of
 from .components import connected_components
 from .packets import Packet, packed
 from .spans import bounds
@@ -159,7 +159,9 @@ def _signatures(n: int, threshold: float, common: np.ndarray, n_buckets: int, mo
             for i in np.flatnonzero(np.diff(cut)):
                 buckets.append(i)
                 chunks.append(row["chunk_id"])
-                payloads.append(pack_arrays(h[cut[i] : cut[i + 1]], d[cut[i] : cut[i + 1]].astype("<u4"), p.ids))
+                place, which = np.unique(d[cut[i] : cut[i + 1]], return_inverse=True)  # only these documents' ids go along
+                hashes = pack_sorted(h[cut[i] : cut[i + 1]])
+                payloads.append(len(hashes).to_bytes(4, "little") + hashes + pack_arrays(which.astype("<u2" if len(place) <= 1 << 16 else "<u4"), place.astype("<u4"), p.ids[place]))
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk_id": pa.array(chunks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
     return run
@@ -169,10 +171,13 @@ def _meetings(table: pa.Table) -> pa.Table:
     """A bucket's documents with equal signatures, as stars round the least id; each row with its star once."""
     hs, ids, places, chunks = [], [], [], []
     for chunk, x in zip(table.column("chunk_id").to_pylist(), table.column("payload"), strict=True):
-        h, d, own = unpack_arrays(x.as_py())
+        raw = x.as_py()
+        n = int.from_bytes(raw[:4], "little")
+        h = unpack_sorted(raw[4 : 4 + n])
+        which, place, own = unpack_arrays(raw[4 + n :])
         hs.append(h)
-        ids.append(own[d])
-        places.append(d.astype(np.int64))
+        ids.append(own[which])
+        places.append(place[which].astype(np.int64))
         chunks.append(np.full(len(h), chunk))
     h, ids, place, chunk = map(np.concatenate, (hs, ids, places, chunks))
     order = np.lexsort((place, chunk, ids, h))
@@ -370,13 +375,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_chunk = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(leaders.select("chunk_id", F.col("place").cast("long").alias("place")).repartition(n, "chunk_id").groupBy("chunk_id"))
     signed = by_chunk.applyInArrow(_signatures(words, threshold, common, n, most or 0), "bucket int, chunk_id long, payload binary")
     met = stored(signed.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_meetings, "id long, star long, chunk_id long, place long"), "meetings")
+    release(spark)
     balls = connected_components(met.select(F.col("id").alias("a"), F.col("star").alias("b")))
     # the places where the sets of a ball are read
     where = met.select("id", "chunk_id", "place").distinct()
     asked = where.join(balls, "id").select(F.col("component_id").alias("ball"), "id", "chunk_id", "place")
-    sets = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(stored(asked, "asked").repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_gather(words), "ball long, id long, size long, values binary")
+    asked = stored(asked, "asked")
+    discard(met)
+    sets = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(asked.repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_gather(words), "ball long, id long, size long, values binary")
     links = sets.repartition(n, "ball").groupBy("ball").applyInArrow(_join_ball(percent), "a long, b long")
     alike = known.join(leaders.filter("n > 1").select("n_shingles", "f1", "f2", "b"), ["n_shingles", "f1", "f2"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    comps = connected_components(stored(links.unionByName(alike), "links"))
+    links = stored(links.unionByName(alike), "links")
+    for spent in (asked, packets, leaders):
+        discard(spent)
+    release(spark)
+    comps = connected_components(links)
     out = docs.join(comps, docs["doc_id"] == comps["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
