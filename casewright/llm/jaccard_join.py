@@ -4,7 +4,7 @@ Unrelated texts all lie at Jaccard distance 1 from each other, so pivots alone w
 document of every region. Regions are therefore seeded exactly first: sets within the radius differ in at most D
 shingles, so of D + 1 + c classes of the shingle universe at least c + 1 hold the same shingles of both; documents that
 agree on a class meet. Documents linked by such meetings form a ball, and inside a ball the metric join runs (see
-metric_join): regions of pivots, boundary documents replicated, regions joined recursively, every link verified exactly.
+metric_links): regions of pivots, boundary documents replicated, regions joined recursively, every link verified exactly.
 """
 
 from __future__ import annotations
@@ -229,9 +229,10 @@ class Parts:
                 self.links.append((row, j))
 
 
-def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray | None = None, settled: dict | None = None) -> list[tuple[int, int]]:
-    """Links (as rows) that connect exactly what all links at 100 * both >= percent * union connect. node: rows with an
-    equal value are one node, connected from the start. settled counts rows by what settles them.
+def metric_links(sets: Sets, percent: int, label: np.ndarray, n_pivots: int = 64, settled: dict | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows, similarities): the links at 100 * both >= percent * union between rows of different labels, some more
+    than once. A caller that gives connected rows one label as it goes gets only enough to connect what all links would.
+    settled counts rows by what settles them.
 
     Pivots are taken, and each row goes to the region of its nearest one, unless it is farther than `edge` from all: then
     to the region of far rows, which gets pivots of its own. By the triangle inequality a row x can have links into the
@@ -239,24 +240,17 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray |
     more than the farthest of p's own rows; and into the far region only if its least distance is above edge - radius.
     Such boundary rows are replicated, and regions join recursively. Where regions don't divide the rows (their distances
     are all alike), those that can be near share one of their rarest shingles, and these are compared. What is
-    connected already needs no further comparison, so a group of near copies costs a pass for each pivot."""
-    n = len(sets.lens)
+    connected already needs no further comparison, so then a group of near copies costs a pass for each pivot."""
     radius = 1 - percent / 100 + 1e-9
-    start = np.arange(n)
-    if node is not None and n:
-        _, at, which = np.unique(node, return_index=True, return_inverse=True)
-        start = at[which]
-    parts = Parts(start.copy())
-    label = parts.label
     settled = {} if settled is None else settled
 
-    def against(i: int, others: np.ndarray) -> np.ndarray:
+    def against(i: int, others: np.ndarray):
         both = sets.shared(i)[others]
         union = sets.lens[others] + sets.lens[i] - both
-        parts.join(i, others[(100 * both >= percent * union) & (others != i)])
-        return 1 - both / union
+        hit = (100 * both >= percent * union) & (others != i) & (label[others] != label[i])
+        return (i, others[hit], both[hit] / union[hit]), 1 - both / union
 
-    def among(rows: np.ndarray) -> None:
+    def among(rows: np.ndarray):
         lens = sets.lens[rows]
         settled["shingles"] = settled.get("shingles", 0) + len(rows)
         owner = np.repeat(np.arange(len(rows)), lens)
@@ -279,20 +273,23 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray |
             other, i = rows[met], rows[k]
             other = other[(label[other] != label[i]) & (100 * sets.lens[other] >= percent * sets.lens[i]) & (100 * sets.lens[i] >= percent * sets.lens[other])]
             if len(other):
-                against(int(i), other)
+                yield against(int(i), other)[0]
 
-    todo = [np.arange(n)]
+    todo = [np.arange(len(sets.lens))]
     while todo:
         rows = todo.pop()
         if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
             continue
         if len(rows) <= LEAF:
-            among(rows)
+            yield from among(rows)
             continue
         # pivots of different parts, spread over the rows
         heads = rows[np.unique(label[rows], return_index=True)[1]]
         picks = heads[np.unique(np.linspace(0, len(heads) - 1, n_pivots).astype(int))]
-        dist = np.stack([against(int(p), rows) for p in picks])
+        dist = np.empty((len(picks), len(rows)))
+        for k, p in enumerate(picks):
+            found, dist[k] = against(int(p), rows)
+            yield found
         near, least = dist.argmin(axis=0), dist.min(axis=0)
         # the edge with fewest rows on the boundary of the far region
         edges = np.linspace(radius, 1 - 1e-6, 40)
@@ -308,7 +305,21 @@ def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray |
             settled["regions"] = settled.get("regions", 0) + len(rows)
             todo += regions
         else:
-            among(rows)
+            yield from among(rows)
+
+
+def nodes(node: np.ndarray) -> np.ndarray:
+    """For each row the first row of equal value."""
+    _, at, which = np.unique(node, return_index=True, return_inverse=True)
+    return at[which]
+
+
+def metric_join(sets: Sets, percent: int, n_pivots: int = 64, node: np.ndarray | None = None, settled: dict | None = None) -> list[tuple[int, int]]:
+    """Links (as rows) that connect exactly what all links connect. node: rows with an equal value are one node,
+    connected from the start."""
+    parts = Parts(np.arange(len(sets.lens)) if node is None else nodes(node))
+    for row, others, _ in metric_links(sets, percent, parts.label, n_pivots, settled=settled):
+        parts.join(row, others)
     return parts.links
 
 
@@ -332,26 +343,35 @@ def _gather(n: int):
     return run
 
 
+def _ball(table: pa.Table) -> tuple[np.ndarray, Sets]:
+    table = table.sort_by([("size", "ascending"), ("id", "ascending")])
+    values = np.frombuffer(b"".join(x.as_py() for x in table.column("values")), dtype=np.uint64)
+    return table.column("id").to_numpy(), Sets(values, table.column("size").to_numpy())
+
+
 def _join_ball(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "ascending"), ("id", "ascending")])
-        ids = table.column("id").to_numpy()
-        lens = table.column("size").to_numpy()
-        values = np.frombuffer(b"".join(x.as_py() for x in table.column("values")), dtype=np.uint64)
-        links = metric_join(Sets(values, lens), percent, node=ids)
+        ids, sets = _ball(table)
+        links = metric_join(sets, percent, node=ids)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
 
     return run
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id.
+def _link_ball(percent: int):
+    """All links of a ball, as they are found, so that their number needn't fit a task."""
 
-    A row's set: its distinct shingles of `words` words (A-Z lower-cased); with fewer words the whole sequence; empty
-    without words. Rows link when 100 * intersection >= percent * union; component_id is the smallest id reachable.
-    Empty sets and null texts link with nothing. A null id: never linked, null component. Rows that repeat an id are
-    one node. Other columns are not read. Empty: empty. Sets are compared by 64-bit shingle hashes.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets = _ball(pa.Table.from_batches(batches))
+        for row, others, alike in metric_links(sets, percent, nodes(ids)):
+            if len(others):
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[row], ids[others]), "b": np.maximum(ids[row], ids[others]), "similarity": alike})
+
+    return run
+
+
+def _balls(df: DataFrame, id_col: str, text_col: str, words: int, percent: int):
+    """(docs, those that can link, leaders of equal sets, the leaders' sets grouped by ball, tables to discard)."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     threshold = percent / 100
@@ -383,12 +403,47 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     asked = stored(asked, "asked")
     discard(met)
     sets = small.repartition(n, "chunk_id").groupBy("chunk_id").cogroup(asked.repartition(n, "chunk_id").groupBy("chunk_id")).applyInArrow(_gather(words), "ball long, id long, size long, values binary")
-    links = sets.repartition(n, "ball").groupBy("ball").applyInArrow(_join_ball(percent), "a long, b long")
+    return docs, known, leaders, sets.repartition(n, "ball").groupBy("ball"), (asked, packets, leaders)
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id.
+
+    A row's set: its distinct shingles of `words` words (A-Z lower-cased); with fewer words the whole sequence; empty
+    without words. Rows link when 100 * intersection >= percent * union; component_id is the smallest id reachable.
+    Empty sets and null texts link with nothing. A null id: never linked, null component. Rows that repeat an id are
+    one node. Other columns are not read. Empty: empty. Sets are compared by 64-bit shingle hashes.
+    """
+    spark = df.sparkSession
+    docs, known, leaders, sets, scratch = _balls(df, id_col, text_col, words, percent)
+    links = sets.applyInArrow(_join_ball(percent), "a long, b long")
     alike = known.join(leaders.filter("n > 1").select("n_shingles", "f1", "f2", "b"), ["n_shingles", "f1", "f2"]).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = stored(links.unionByName(alike), "links")
-    for spent in (asked, packets, leaders):
+    for spent in scratch:
         discard(spent)
     release(spark)
     comps = connected_components(links)
     out = docs.join(comps, docs["doc_id"] == comps["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, members), with sets and links as in jaccard_components.
+
+    Rows of equal sets form a class, whose representative is its smallest id. members: doc_id, representative, one row
+    for each id and class; ids without a set are in none. links: a, b, similarity: every link between representatives,
+    a < b, once, so all links between different sets; rows of one class link with each other and with all that their
+    representative links with. An id that repeats with different texts has a class for each; of several similarities of
+    one pair the greatest is given, and its classes are not linked with each other. The recursion is that of
+    jaccard_components, without leaving out what is connected already: the cost grows with the number of links.
+    """
+    spark = df.sparkSession
+    _, known, leaders, sets, (asked, packets, _) = _balls(df, id_col, text_col, words, percent)
+    found = sets.applyInArrow(_link_ball(percent), "a long, b long, similarity double")
+    links = stored(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    key = ["n_shingles", "f1", "f2"]
+    members = known.join(leaders.select(*key, F.col("b").alias("representative")), key).select("doc_id", "representative").distinct()
+    for spent in (asked, packets):
+        discard(spent)
+    release(spark)
+    return links, members

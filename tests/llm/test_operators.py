@@ -17,7 +17,7 @@ from casewright.llm.ann import nearest
 from casewright.llm.common import sql_words
 from casewright.llm.components import connected_components
 from casewright.llm.embedding_dedup import near_duplicates
-from casewright.llm.jaccard_join import Sets, jaccard_components, metric_join
+from casewright.llm.jaccard_join import Sets, jaccard_components, jaccard_links, metric_join, metric_links
 from casewright.llm.substring_dedup import remove_repeated_words
 from casewright.llm.suffix_dedup import longest_previous_factors, remove_repeated_bytes, smaller_neighbours, without_repeats
 
@@ -116,6 +116,13 @@ def test_jaccard(docs, n, percent):
     got = {tuple(r) for r in jaccard_components(docs, words=n, percent=percent).collect()}
     assert got == {(i, len(sets[i]), comp[i]) for i in sets}
     assert jaccard_components(docs.limit(0)).count() == 0
+    if percent == 80:
+        links, members = jaccard_links(docs, words=n, percent=percent)
+        first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+        assert sorted(map(tuple, members.collect())) == sorted(first.items())
+        alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in set(first.values()) for j in set(first.values()) if i < j}
+        want = {k: x for k, x in alike.items() if 100 * x >= percent - 1e-9}
+        assert want and {(r["a"], r["b"]): pytest.approx(r["similarity"]) for r in links.collect()} == want
 
 
 def test_metric_join():
@@ -145,6 +152,8 @@ def test_metric_join():
             both = sets.shared(i)
             for j in np.flatnonzero(100 * both >= percent * (lens + lens[i] - both)):
                 want[want == want[j]] = want[i]
+        every = {(min(i, int(j)), max(i, int(j))) for i, js, _ in metric_links(sets, percent, np.arange(len(rows))) for j in js}
+        assert every == {(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(100 * sets.shared(i) >= percent * (lens + lens[i] - sets.shared(i))) if i < j}
         assert len(np.unique(part)) == len(np.unique(want)) == len(np.unique(np.column_stack([part, want]), axis=0))
     assert ways["regions"] > 500 and ways["shingles"] > 100
 
@@ -186,6 +195,23 @@ def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (None, 1), (7, 6), (6, 5)], "a long, b long")
     assert dict(connected_components(e).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
     assert connected_components(e.limit(0)).count() == 0
+    # a hub with many more edges than parts, whose id is neither the least nor the greatest, and a chain behind it
+    rng = np.random.default_rng(4)
+    hub = [(500, int(x)) for x in rng.permutation(np.arange(501, 1400))] + [(int(x), 500) for x in range(300, 500)] + [(k, k + 1) for k in range(1399, 1420)]
+    rest = [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (400, 2))]
+    root = {k: k for e in hub + rest for k in e}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in hub + rest:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    loops = {a for a, b in rest if a == b} - {k for a, b in hub + rest if a != b for k in (a, b)}
+    got = dict(connected_components(spark.createDataFrame(hub + rest, "a long, b long").repartition(5)).collect())
+    assert got == {k: top(k) for k in root if k not in loops}
 
 
 def test_vectors(spark):
