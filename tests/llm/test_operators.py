@@ -476,38 +476,161 @@ def test_quality(spark):
     assert quality.quality_report(odd).count() == 4 and quality.quality_report(odd.limit(0)).count() == 0
 
 
-def test_labellers_by_plain_em():
+def plain_em(votes, rounds):
     """Expectation and maximisation, row by row in plain Python."""
-    rng = np.random.default_rng(6)
-    truth = rng.random(400) < 0.7
-    votes = np.where(rng.random((400, 4)) < np.array([0.9, 0.8, 0.7, 0.95]), truth[:, None], ~truth[:, None]).astype(int)
-    votes[rng.random((400, 4)) < 0.3] = -1
-    pattern, count = np.unique(votes, axis=0, return_counts=True)
-    rates, prior, post = quality.fit_labellers(pattern, count.astype(float), rounds=40)
-    p = [0.2 if 0 in v else 0.95 for v in votes.tolist()]
-    for _ in range(40):
+    m = len(votes[0])
+    p = [0.2 if 0 in v else 0.95 for v in votes]
+    for _ in range(rounds):
         share = min(max(sum(p) / len(p), 1e-3), 1 - 1e-3)
         rate = {}
         for c in (0, 1):
-            for j in range(4):
+            for j in range(m):
                 w = [sum((x if c else 1 - x) for x, v in zip(p, votes, strict=True) if v[j] == k) + 0.5 for k in (0, 1)]
                 rate[c, j] = [x / sum(w) for x in w]
         new = []
         for v in votes:
             like = [1 - share, share]
             for c in (0, 1):
-                for j in range(4):
+                for j in range(m):
                     if v[j] >= 0:
                         like[c] *= rate[c, j][v[j]]
             new.append(like[1] / sum(like))
         if max(abs(a - b) for a, b in zip(p, new, strict=True)) < 1e-9:
             break
         p = new
-    by = {tuple(v): x for v, x in zip(votes.tolist(), p, strict=True)}
+    return p
+
+
+def test_labellers_by_plain_em():
+    rng = np.random.default_rng(6)
+    truth = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, 4)) < np.array([0.9, 0.8, 0.7, 0.95]), truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random((400, 4)) < 0.3] = -1
+    pattern, count = np.unique(votes, axis=0, return_counts=True)
+    rates, prior, post = quality.fit_labellers(pattern, count.astype(float), rounds=40)
+    by = {tuple(v): x for v, x in zip(votes.tolist(), plain_em(votes.tolist(), 40), strict=True)}
     assert all(abs(x - by[tuple(v)]) < 1e-6 for v, x in zip(pattern.tolist(), post, strict=True))
     assert ((post > 0.5) == (np.array([truth[(votes == v).all(axis=1)].mean() for v in pattern]) > 0.5)).mean() > 0.7
 
 
+def plain_scores(texts):
+    """Scores of the quality classifier fitted on these texts, each text and weight by itself."""
+    alone = [quality.Batch([(x or "").encode()]) for x in texts]
+    target = plain_em([b.votes()[0].tolist() for b in alone], 100)
+    shares = [{f: k / int(b.n[0]) for f, k in Counter(b.features()[1].tolist()).items()} for b in alone]
+    n, w, grow, bias, grow_b = len(texts), Counter(), {}, 0.0, 1e-6
+    good = lambda x: 1 / (1 + np.exp(-min(max(sum(w[f] * k for f, k in x.items()) + bias, -40), 40)))
+    for _ in range(150):
+        err = [(good(x) - y) / n for x, y in zip(shares, target, strict=True)]
+        slope = {f: 1e-5 * k / n for f, k in w.items()}
+        for x, e in zip(shares, err, strict=True):
+            for f, k in x.items():
+                slope[f] = slope.get(f, 0.0) + e * k
+        for f, g in slope.items():
+            grow[f] = grow.get(f, 1e-6) + g * g
+            w[f] -= 2 * g / grow[f] ** 0.5
+        grow_b += sum(err) ** 2
+        bias -= 2 * sum(err) / grow_b**0.5
+    return [good(x) if (t or "").encode().split() else 0.0 for x, t in zip(shares, texts, strict=True)]
+
+
+def plain_groups(rows):
+    """One row of each group that five-word shingles link at 0.8."""
+    sets = []
+    for _, t, _ in rows:
+        w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                part = [part[i] if x == part[j] else x for x in part]
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        rank = (i is None, i or 0, k)
+        least[part[k]] = min(least.get(part[k], rank), rank)
+    return [rows[k] for _, _, k in sorted(least.values())]
+
+
+def plain_cuts(rows, length=50):
+    """Texts without the characters that lie whole in strings of an earlier document; none that is left empty."""
+    seen = {}
+    for i, t, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        x = (t or "").encode()
+        for p in range(len(x) - length + 1):
+            seen.setdefault(x[p : p + length], i)
+    out = []
+    for i, t, source in rows:
+        x = (t or "").encode()
+        cover = [False] * len(x)
+        for p in range(len(x) - length + 1 if i is not None else 0):
+            if seen[x[p : p + length]] < i:
+                cover[p : p + length] = [True] * length
+        kept, at = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += "" if all(cover[at : at + n]) else c
+            at += n
+        out += [(i, kept, source)] if kept else []
+    return out
+
+
+def plain_targets(sizes):
+    """{source: target}: water filling, one source after the other."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, free, out = 1.5 * sum(sizes.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if 2 * sizes[s] <= level * weight[s]]
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        free -= set(over)
+        if not over:
+            return out | {s: level * weight[s] for s in free}
+    return out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run()'s rows from stages in plain Python. Which of the documents of a source the mixture takes once more than the
+    others is chance; their whole parts and each source's words are not."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    given = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 6000")
+    first = given.orderBy("doc_id").first()
+    again = [tuple(first), tuple(first), (None, first["text"], "en", "s", 1), (None, "Some words of no other text, " * 3 + "and that is the end of it.", "en", None, 1), (10**17 + 1, None, "en", "s", None), (10**17 + 2, "", "en", "s", 0)]
+    spark.createDataFrame([*map(tuple, given.collect()), *again], given.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text", "source").collect()]
+    scores = plain_scores([t for _, t, _ in rows])
+    assert min(abs(x - 0.5) for x in scores) > 1e-4  # no row for rounding to decide
+    kept = [r for r, x in zip(rows, scores, strict=True) if x >= 0.5]
+    alone = plain_groups(kept)
+    cut = plain_cuts(alone)
+    assert len(rows) > len(kept) > len(alone) and sum(len(t) for _, t, _ in cut) < sum(len(t or "") for _, t, _ in alone)
+
+    words = [len(t.encode().split()) for _, t, _ in cut]
+    sizes = Counter()
+    for (_, _, source), n in zip(cut, words, strict=True):
+        sizes[source] += n
+    targets = plain_targets(dict(sizes))
+    ids = lambda t: (tuple(lib.encode(t)), hashlib.sha256(t.encode()).hexdigest())
+    got = Counter((r["doc_id"], tuple(r["ids"]), r["n_ids"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    taken, most = Counter(), Counter()
+    for (i, t, source), n in zip(cut, words, strict=True):
+        x, digest = ids(t)
+        copies, ratio = got.pop((i, x, len(x), digest), 0), targets[source] / sizes[source] if sizes[source] else 0
+        assert int(ratio + 1e-9) <= copies <= int(np.ceil(ratio - 1e-9)), (i, copies, ratio)
+        taken[source] += copies * n
+        most[source] = max(most[source], n)
+    assert not got  # no row but these
+    for source in sizes:
+        assert abs(taken[source] - targets[source]) <= most[source] / 2 + 1e-6, source
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
