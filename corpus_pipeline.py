@@ -28,10 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = jaccard_components(docs, id_col="row", words=5, percent=80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    ranked = groups.join(docs.select("row", "doc_id"), "row").select("row", "group", rank.alias("rank"))
-    first = ranked.groupBy("group").agg(F.count("*").alias("n"), F.min("rank").alias("first")).filter("n > 1")
-    gone = ranked.join(first, "group").filter("row <> first.row").select("row")
-    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
+    ranked = groups.join(docs.select("row", "doc_id"), "row").select("group", rank.alias("rank"))
+    first = ranked.groupBy("group").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("row"))
+    return docs.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("mixing sources", mixture), ("sentencepiece", pieces)]
 
-#: Weak-label fitting, byte passages and piece encoding have no SQL. No test recomputes run()'s rows.
+#: Weak-label fitting, byte passages and piece encoding have no SQL; a test recomputes run()'s rows in plain Python.
 ORACLE_SQL = None
 
 
