@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 
 from casewright import registry
 
@@ -30,3 +31,12 @@ def test_references_without_semicolon(spark, tmp_path):
     _tables(tmp_path, pages=" UNION ALL ".join(f"SELECT {k}::BIGINT AS page_id, 'u' AS url, '<title>{t}</title><p class=\"court\">x</p>' AS html" for k, t in enumerate(titles)))
     got, want = _both(spark, "S10_details", tmp_path)
     assert got == want and got[0][1] == "A & B &&amp" and got[1][1] == '&lt; <b> &quot'
+
+
+@pytest.mark.parametrize("steps", [5, 6])
+def test_chain_ends_where_the_sql_does(spark, tmp_path, steps):
+    keys = [1, *range(11, 10 + steps), 1400]  # each cites the one before it
+    orders = " UNION ALL ".join(f"SELECT * REPLACE ({k}::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, TIMESTAMP '2000-01-01' + INTERVAL {n} DAY AS o_orderdate) FROM (SELECT * FROM '{SF}/orders.parquet' LIMIT 1)" for n, k in enumerate(keys))
+    _tables(tmp_path, orders=orders, lineitem=f"SELECT * FROM '{SF}/lineitem.parquet' WHERE false")
+    got, want = _both(spark, "G4_chain", tmp_path)
+    assert got == want and [r[0].count(",") for r in got] == [5] * (steps == 5)
