@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rows of a batch searched in step.
-STEP = 512
+#: Rows of a batch searched in step; and the most marks of rows seen that they hold together, 4 bytes each.
+STEP, MARKS = 512, 16 << 20
 
 
 def levels_of(keys: np.ndarray, m: int) -> np.ndarray:
@@ -23,16 +23,18 @@ class Layer:
         self.nodes, self.links = nodes, links
 
 
-def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, floor: float | None = None):
+def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, floor: float | None = None, marks: np.ndarray | None = None):
     """Best-first search by inner product for all queries in step. entry: (q, e) places, -1 empty.
     -> (q, width) places and products, best first, -1 and -inf where empty; and whether the beam is full of rows at or
-    above floor (then a wider beam could find more)."""
+    above floor (then a wider beam could find more). marks: zeros to mark rows in, one for each query and row at least;
+    they are zeros again afterwards."""
     q, n = len(queries), len(vectors)
     width = min(width, n)
     place = np.full((q, width), -1, dtype=np.int32)
     score = np.full((q, width), -np.inf, dtype=np.float32)
     done = np.zeros((q, width), dtype=bool)
-    seen = np.zeros(q * n, dtype=np.int32)
+    seen = np.zeros(q * n, dtype=np.int32) if marks is None else marks
+    marked: list[np.ndarray] = []
     rows = np.arange(q)
     few = max(1, width // 16)
 
@@ -42,6 +44,7 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         serial = np.arange(1, len(cell) + 1, dtype=np.int32)
         seen[cell] = serial
         cell = cell[seen[cell] == serial]  # a place that two lists hold, once
+        marked.append(cell)
         own, p = np.divmod(cell, n)
         val = np.einsum("ij,ij->i", vectors[p], queries[own])
         good = val > score[own, -1]  # the others don't enter the beam
@@ -76,10 +79,17 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         cand = np.full((len(active), few, links.shape[1]), -1, dtype=np.int64)
         cand[r, rank[r, c] - 1] = links[place[active[r], c]]
         offer(active, cand.reshape(len(active), -1))
+    for cell in marked if marks is not None else ():
+        marks[cell] = 0
     full = (score[:, -1] >= floor) if floor is not None and width < n else np.zeros(q, dtype=bool)
     return place, score, full
 
 
+def in_step(n: int) -> int:
+    """How many queries are searched in step over n rows, so that their marks stay within bounds."""
+    return max(1, min(STEP, MARKS // max(1, n)))
+
+
 def select_diverse(vectors: np.ndarray, base: np.ndarray, cand: np.ndarray, m: int) -> np.ndarray:
     """Of each row's candidates (best first, -1 empty), up to m that are nearer to the row than to any chosen before;
     then the best of the rest, if there is room."""
@@ -109,6 +119,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, layers: list[Layer]):
         self.vectors, self.layers = vectors, layers
+        self.local: np.ndarray | None = None  # the vectors in the order of the bottom layer, once something is searched
 
     @classmethod
     def build(cls, vectors: np.ndarray, keys: np.ndarray, m: int = 12, beam: int = 48) -> Graph:
@@ -127,12 +138,13 @@ class Graph:
     def search(self, queries: np.ndarray, width: int, floor: float | None = None):
         """(rows, products, full) as beam_search, in blocks of queries that bound memory."""
         bottom = self.layers[0]
-        local = self.vectors[bottom.nodes]
-        step = max(1, min(STEP, (64 << 20) // (4 * max(1, len(local)))))
-        out = []
+        if self.local is None:
+            self.local = self.vectors[bottom.nodes]
+        local, step, out = self.local, in_step(len(bottom.nodes)), []
+        marks = np.zeros(step * len(local), dtype=np.int32)
         for i in range(0, len(queries), step):
             q = np.ascontiguousarray(queries[i : i + step], dtype=np.float32)
-            place, score, full = beam_search(local, bottom.links, q, self.entries(q), width, floor)
+            place, score, full = beam_search(local, bottom.links, q, self.entries(q), width, floor, marks)
             out.append((np.where(place >= 0, bottom.nodes[np.maximum(place, 0)], -1), score, full))
         if not out:
             return np.zeros((0, width), np.int64), np.zeros((0, width), np.float32), np.zeros(0, bool)
@@ -175,13 +187,15 @@ def _build_layer(vectors, nodes, above, width, m, beam) -> Layer:
         chosen = select_diverse(local, local[:first], cand, m)
         links[:first, : chosen.shape[1]] = chosen
         _link_back(local, links, np.arange(first), chosen)
-    have = first
+    have, marks = first, np.zeros(in_step(n) * n, dtype=np.int32)
     while have < n:
         new = np.arange(have, min(n, have + min(STEP, have)))
         q = local[new]
-        entry = _descend(vectors, above, q, nodes)
+        entry = np.concatenate([_descend(vectors, above, q[i : i + in_step(n)], nodes) for i in range(0, len(q), in_step(n))])
         entry = np.where(entry < have, entry, 0)
-        cand, score, _ = beam_search(local[:have], links[:have], q, entry, beam)
+        step = len(marks) // have
+        found = [beam_search(local[:have], links[:have], q[i : i + step], entry[i : i + step], beam, None, marks)[:2] for i in range(0, len(q), step)]
+        cand, score = (np.concatenate(x) for x in zip(*found, strict=True))
         mutual = q @ q.T  # rows of one batch may be each other's neighbours
         np.fill_diagonal(mutual, -np.inf)
         k = min(16, len(new) - 1)
